@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokiwa.llm import mixing, packing
+from tokiwa.llm import divergence, mixing, packing, secrets
 from tokiwa.llm.common import table
 from tokiwa.llm.oracles import ORACLES
 
@@ -19,6 +20,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest of secrets.scan: counts by kind, the base spans' SHA-256 and all spans."""
+    scanned = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.sha2(secrets.listed(F.col("base_spans")), 256)
+    return scanned.select("doc_id", *[count(k.name) for k in secrets.KINDS], base.alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
