@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokiwa.llm import divergence, mixing, packing, secrets
+from tokiwa.llm import chunking, divergence, mixing, packing, secrets, simhash
 from tokiwa.llm.common import table
 from tokiwa.llm.oracles import ORACLES
 
@@ -20,10 +20,20 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.compare(table(spark, sf_dir, "documents"))
+
+
 def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """simhash.classes with the fingerprint as 16 hex digits."""
+    found = simhash.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The digest of secrets.scan: counts by kind, the base spans' SHA-256 and all spans."""
     scanned = secrets.scan(table(spark, sf_dir, "documents"))
