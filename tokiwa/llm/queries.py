@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokiwa.llm import chunking, divergence, mixing, packing, secrets, simhash
+from tokiwa.llm import chunking, divergence, mixing, packing, ppm, secrets, simhash
 from tokiwa.llm.common import table
 from tokiwa.llm.oracles import ORACLES
 
@@ -20,6 +20,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op2_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare(table(spark, sf_dir, "documents"))
 
