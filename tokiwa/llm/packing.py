@@ -8,9 +8,11 @@ compared with another, and no group of pieces is gathered.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from struct import pack as packed
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,32 +22,53 @@ from tokiwa.llm.common import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Words whose ids a worker remembers; beyond that it forgets them all and starts again.
-REMEMBERED = 400_000
-#: White space in every tokenizer's sense, none of which a token of the vocabulary spans.
-BLANKS = str.maketrans("\t\n\r", "   ")
+#: Words whose ids a worker remembers before it forgets those that it has not met again since it last forgot some.
+REMEMBERED = 300_000
+
+
+class Remembered(dict):
+    """A dict that asks `look_up` for what it lacks, and on having grown forgets all but what it last held or meets again."""
+
+    def __init__(self, look_up: Callable[[str], bytes]):
+        super().__init__()
+        self.look_up, self.old = look_up, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        self[key] = value = self.look_up(key) if value is None else value
+        return value
 
 
 class WordIds:
-    """Ids of a text, as little-endian 32-bit bytes, from the ids of its words between blanks."""
+    """Ids of a text, as little-endian 32-bit bytes, from the ids of its words between blanks.
+
+    The vocabulary spans no white space, so a text may be taken apart at some of it. A word of Latin-1 letters and digits,
+    in whatever case and before whatever stops and commas, has the ids of its lower case and then those of the stops, as
+    the vocabulary is lower case and its words end where letters end; so the tokenizer sees only the former, once.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
+        self.words, self.cores = Remembered(self.word), Remembered(self.core)
 
     def __call__(self, text: str) -> bytes:
-        words = text.translate(BLANKS).split(" ")
-        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {"": b""}
-                new = list(dict.fromkeys(words))
-            for at in range(0, len(new), 10_000):
-                part = new[at : at + 10_000]
-                for word, code in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                    self.known[word] = b"".join(i.to_bytes(4, "little") for i in code.ids)
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def word(self, word: str) -> bytes:
+        core = word.rstrip(".,")
+        if core.isalnum() and max(core) < "\u0100":
+            return self.cores[core.lower()] + self.cores[word[len(core) :]]
+        return self.core(word)
+
+    def core(self, core: str) -> bytes:
+        ids = self.tokenizer.encode(core, add_special_tokens=False).ids
+        return packed(f"<{len(ids)}I", *ids)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
