@@ -3,23 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tokiwa.llm import mixing, packing
+from tokiwa.llm import langid, mixing, packing, secrets, simhash
 from tokiwa.llm.common import cut, table
 from tokiwa.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Texts whose language is less certain than this, or undetermined, go.
+LEAST_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the texts whose language is known; those with no letter, or of no one language, go. lang stays as it was."""
+    judged = langid.identify(docs)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each near-duplicate class, that with the least doc_id; of repeated rows one stays."""
+    found = simhash.classes(docs.select("doc_id", "text"))
+    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(keepers, "doc_id", "left_semi").select(*COLUMNS)
+    return kept.dropDuplicates(["doc_id"])
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret in the texts by a mark, and count n_chars anew where there was one."""
+    scanned = secrets.scan(docs)
+    clean = scanned.withColumn("_clean", secrets.redacted(F.col("text"), F.col("spans")))
+    changed = F.size("spans") > 0
+    return clean.select("doc_id", F.col("_clean").alias("text"), "lang", "source", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bring all sources to the same weight by replication, and shuffle."""
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left, each copy by itself."""
     return packing.pack(docs, tokenizer_path())
 
 
-STAGES = [("mix", mix_stage), ("pack", pack_stage)]
+STAGES = [("language", language_stage), ("dedup", dedup_stage), ("secrets", secrets_stage), ("mix", mix_stage), ("pack", pack_stage)]
 
 #: The stages run learned models, a tokenizer and an iteration, which SQL can't express; tests hold run() against brute force.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokiwa.llm import chunking, divergence, langid, mixing, packing, ppm, secrets, simhash
+from tokiwa.llm import chunking, divergence, langid, mixing, packing, ppm, resampling, secrets, simhash, toxicity
 from tokiwa.llm.common import table
 from tokiwa.llm.oracles import ORACLES
 
@@ -28,6 +28,15 @@ def op2_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.compare(table(spark, sf_dir, "documents"))
 
 
+def op3_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
 def op5_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
 
