@@ -21,11 +21,16 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class, that with the least doc_id; of repeated rows one stays."""
+    """Keep one document of each near-duplicate class, that with the least doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id can't be told apart by it and all stay.
+    """
     found = simhash.classes(docs.select("doc_id", "text"))
-    keepers = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi").select(*COLUMNS)
-    return kept.dropDuplicates(["doc_id"])
+    keepers = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keepers = cut(keepers, "keepers")
+    kept = docs.join(keepers, "doc_id").select("n", *COLUMNS)
+    once, often = kept.where("n = 1").select(*COLUMNS), kept.where("n > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
+    return once.union(often).union(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
