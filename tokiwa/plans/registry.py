@@ -1,21 +1,317 @@
-"""Names of the reference-side queries, each with its DataFrame plan and, where it exists, its SQL oracle."""
+"""The engine's own queries by name, each over whole tables of the driver's data, and their SQL oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tokiwa.functions import names, pretokens, text
+from tokiwa.operators import conjugation, dictionary, index, rewrites, tokens
+from tokiwa.plans.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 
+# Rows that the kana, dictionary and conjugation queries are tried on.
+KANA_SAMPLES = ("ｶﾞｷﾞｸﾞ ﾊﾟﾋﾟﾌﾟ", "ｳﾞｧｲｵﾘﾝ", "ヴァイオリンとヴェール", "ＡＢＣ１２３ｘｙｚ", "ﾜﾞ ﾜｰﾙﾄﾞ", "ゔぁいおりん ゔ", "ｱﾞ ﾟ ﾞ", "カﾞキﾞハﾟ", "ヴ ヴヮ", "plain text")
+VERB_SAMPLES = ("書く", "泳ぐ", "話す", "待つ", "死ぬ", "飛ぶ", "読む", "帰る", "買う", "食べる", "勉強する", "高い", "来る", "みる", "する")
+DICTIONARY_ROWS = (
+    (1, "the", "DET"), (1, "of", "PARTICLE"), (1, "and", "CONJ"), (1, "que", "CONJ"), (1, "der", "DET"), (2, "thing", "NOUN"), (2, "tion", "SUFFIX"), (2, "over", "ADV"),
+    (2, "the", "DET"), (3, "thethe", "NOUN"), (3, "eau", "NOUN"), (3, "ción", "SUFFIX"), (3, "schen", "NOUN"), (3, "and", "NOUN"), (3, "idiot", "NOUN"), (3, "and", "NOUN"),
+)
 
-def queries() -> dict[str, Query]:
-    return {}
 
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def entries(spark: SparkSession) -> DataFrame:
+    rows = [(layer, i, surface, pos, surface) for i, (layer, surface, pos) in enumerate(DICTIONARY_ROWS)]
+    return spark.createDataFrame(rows, "layer int, entry_id int, surface string, pos string, lemma string")
+
+
+# normalisation and character classes
+
+
+@query
+def normalize_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts made full-width, folded back with letters lowered."""
+    narrow = text.ASCII_DIGITS + text.ASCII_UPPER + text.ASCII_LOWER
+    made = documents(spark, sf_dir).select("doc_id", F.translate("text", narrow, text.wide(narrow)).alias("text"))
+    return made.select("doc_id", F.md5(text.normalize(F.col("text"), preserve_case=False)).alias("folded_md5"), text.needs_normalization(F.col("text")).alias("needs"))
+
+
+@query
+def normalize_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame(list(enumerate(KANA_SAMPLES)), "sample_id int, text string")
+    return rows.select("sample_id", text.normalize(F.col("text")).alias("normal"), text.normalize(F.col("text"), preserve_vu=False).alias("without_vu"))
+
+
+@query
+def char_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters of each class each document has."""
+    classes = [*text.CLASS_RANGES, text.OTHER_CLASS]
+    return documents(spark, sf_dir).select("doc_id", *[text.class_count(F.col("text"), c).alias(f"n_{c.lower()}") for c in classes])
+
+
+@query
+def char_type_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of characters of one class: how many a document has, and the longest."""
+    runs = documents(spark, sf_dir).select("doc_id", text.class_runs(F.col("text")).alias("runs"))
+    return runs.select("doc_id", F.size("runs").alias("n_runs"), F.array_max(F.transform("runs", lambda r: F.length(r))).alias("longest"))
+
+
+@query
+def char_type_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of the whole corpus by class, counted by the character."""
+    chars = documents(spark, sf_dir).select(F.explode(F.split("text", "")).alias("c")).where("c <> ''").groupBy("c").agg(F.count("*").alias("n"))
+    return chars.groupBy(text.class_column(F.col("c")).alias("char_class")).agg(F.sum("n").alias("n"))
+
+
+@query
+def utf8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code points, bytes and validity of each text."""
+    return documents(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"), text.valid_utf8(F.encode("text", "UTF-8")).alias("is_valid"))
+
+
+# lexical extraction
+
+
+def _kind_rows(kind: str, source: str, column: str, key: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, source).select(key, F.explode(pretokens.of_kind(F.col(column), kind)).alias("surface")).groupBy(key, "surface").agg(F.count("*").alias("n"))
+
+    run.__name__ = f"pretoken_{kind}"
+    run.__doc__ = f"Every {kind} in {source}.{column}, with how often it comes in a row."
+    return query(run)
+
+
+for _kind, _source, _column, _key in (("url", "pages", "html", "page_id"), ("email", "documents", "text", "doc_id"), ("hashtag", "pages", "html", "page_id"), ("mention", "documents", "text", "doc_id"), ("storage", "documents", "text", "doc_id"), ("percentage", "documents", "text", "doc_id"), ("number", "documents", "text", "doc_id"), ("version", "documents", "text", "doc_id"), ("asciiseq", "documents", "text", "doc_id")):
+    _kind_rows(_kind, _source, _column, _key)
+
+
+@query
+def pretoken_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, times, amounts and the rest of the sequential extractor on fixed samples (a golden check, not an oracle)."""
+    samples = ["2024年12月23日に送付", "12345年", "14時30分45秒 25時", "税込1,234円 3億円", "約5GB使用 5banana", "進捗50% ３０％", "住所1-2-3です", "v2.0.1とv3", "a@b.co. x@y.jp", "#タグ と @user_1 @a.b", "example.com/x 3.14", "すごい！本当？"]
+    rows = spark.createDataFrame(list(enumerate(samples)), "sample_id int, text string")
+    found = rows.select("sample_id", F.posexplode(pretokens.pretokens(F.col("text"))).alias("place", "p"))
+    return found.select("sample_id", "place", "p.kind", "p.surface", "p.start", "p.end", "p.type")
+
+
+@query
+def pretoken_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and spans tile each text: their lengths add up to it, and they are in order."""
+    found = documents(spark, sf_dir).select("doc_id", F.length("text").alias("n_chars"), pretokens.pretokens(F.col("text")).alias("p"))
+    sums = F.aggregate("p", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    return found.select("doc_id", "n_chars", sums.alias("covered"), F.size(F.filter("p", lambda x: x["type"] == "boundary")).alias("n_boundaries"))
+
+
+@query
+def pretoken_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the sequential extractor over all documents, by type."""
+    found = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(pretokens.PATTERN), 0)).alias("hit"))
+    return found.groupBy(pretokens.kind_of(F.col("hit")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query
+def sentence_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", (F.size(F.split("text", pretokens.KINDS["boundary"], -1)) - 1).alias("n_boundaries"))
+
+
+# tokens, tags, index
+
+
+def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_rows(documents(spark, sf_dir))
+
+
+@query
+def latin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the documents that the closed form covers: no kana or kanji, one chunk, no run over the caps."""
+    return corpus_tokens(spark, sf_dir)
+
+
+@query
+def token_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 commonest tokens."""
+    return corpus_tokens(spark, sf_dir).groupBy("surface").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "surface").limit(100)
+
+
+@query
+def tags_noun_min2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tag_rows(corpus_tokens(spark, sf_dir))
+
+
+@query
+def tags_max_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten tags of each document, from the array of its morphemes, without a shuffle."""
+    docs = documents(spark, sf_dir).where(tokens.closed_form(F.col("text")))
+    noun = lambda s: F.struct(s.alias("surface"), F.lit("NOUN").alias("pos"), s.alias("lemma"), F.lit(False).alias("is_formal_noun"), F.lit(False).alias("is_low_info"))
+    made = docs.select("doc_id", F.transform(tokens.latin_surfaces(F.col("text")), noun).alias("morphemes"))
+    return made.select("doc_id", F.posexplode(tokens.tags(F.col("morphemes"), tokens.TagOptions(max_tags=10, pos_filter=1))).alias("place", "t")).select("doc_id", "place", "t.tag", "t.pos")
+
+
+@query
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tag's document frequency and the digest of its sorted documents."""
+    found = index.inverted_index(index.postings(corpus_tokens(spark, sf_dir)))
+    return found.select("tag", "df", F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")).alias("doc_ids_md5"))
 
-def oracle_sql() -> dict[str, str]:
-    return {}
+
+@query
+def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(corpus_tokens(spark, sf_dir))
+
+
+@query
+def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark text as a query; ties by doc_id."""
+    asked = tokens.token_rows(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
+    return index.search(asked, index.postings(corpus_tokens(spark, sf_dir)), top=10)
+
+
+@query
+def filters_bytes_and_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of at least four bytes, by length in characters."""
+    return corpus_tokens(spark, sf_dir).where(F.octet_length("surface") >= 4).groupBy(F.length("surface").alias("n_chars")).agg(F.count("*").alias("n"))
+
+
+# rewrites
+
+
+def morpheme_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Morphemes of conversations, symbols kept: letters and digits apart are nouns that compounds join."""
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit("[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+"), 0).alias("parts"))
+    rows = found.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc_key"), F.posexplode("parts").alias("token_index", "surface"))
+    return rows.withColumn("pos", F.when(F.col("surface").rlike("^[A-Za-z0-9]"), "NOUN").otherwise("SYMBOL")).withColumn("lemma", F.lower("surface")).withColumn("is_formal_noun", F.length("surface") == 1)
+
+
+@query
+def compound_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbouring nouns joined, symbols then dropped."""
+    return rewrites.visible(rewrites.compounds(morpheme_rows(spark, sf_dir), "doc_key"))
+
+
+@query
+def prefix_verb_to_noun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", 0, "お", "PREFIX", "お"), ("a", 1, "願い", "VERB", "願う"), ("a", 2, "し", "VERB", "する"), ("b", 0, "本", "NOUN", "本"), ("b", 1, "読む", "VERB", "読む"), ("c", 0, "ご", "PREFIX", "ご"), ("c", 1, "覧", "VERB", "覧る")]
+    return rewrites.prefixed_verbs(spark.createDataFrame(rows, "doc_id string, token_index int, surface string, pos string, lemma string"))
+
+
+@query
+def prolonged_sound_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [("a", 0, "すご", "ADJ", "すご"), ("a", 1, "ー", "NOUN", "ー"), ("a", 2, "ーー", "NOUN", "ー"), ("a", 3, "い", "AUX", ""), ("b", 0, "。", "SYMBOL", "。"), ("b", 1, "ー", "NOUN", "ー"), ("c", 0, "ー", "NOUN", "ー")]
+    return rewrites.prolonged(spark.createDataFrame(rows, "doc_id string, token_index int, surface string, pos string, lemma string"))
+
+
+@query
+def with_without_dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that only one of two analyses of the benchmark texts has: tokens parted at dots, or not."""
+    whole = tokens.token_rows(table(spark, sf_dir, "benchmark"), key="item_id")
+    parted = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]+|[A-Z]+"), 0)).alias("token_index", "surface"))
+    return rewrites.renamed(whole, parted, "item_id")
+
+
+# dictionaries and conjugation
+
+
+@query
+def dict_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each dictionary entry stands anywhere in the benchmark texts."""
+    found = dictionary.prefix_matches(table(spark, sf_dir, "benchmark"), entries(spark), 6, key="item_id")
+    return found.groupBy("surface", "pos", "layer").agg(F.count("*").alias("n"), F.countDistinct("item_id").alias("n_items"))
+
+
+@query
+def dict_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.statistics(entries(spark))
+
+
+@query
+def dict_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.duplicates(entries(spark))
+
+
+@query
+def dict_wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names that match a wildcard pattern."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_name").alias("surface"), F.lit("NOUN").alias("pos"), F.lit(1).alias("layer"))
+    return dictionary.listed(parts, pos="NOUN", pattern="*a?e*").select("surface", "pos")
+
+
+@query
+def dict_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of every layer that come as tokens in the documents."""
+    return dictionary.lookup(entries(spark), corpus_tokens(spark, sf_dir))
+
+
+@query
+def dict_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = entries(spark)
+    new = spark.createDataFrame([(4, 100, "the", "DET", "the"), (4, 101, "the", "NOUN", "the"), (4, 102, "leaux", "NOUN", "leaux")], old.schema)
+    return dictionary.imported(old, new)
+
+
+@query
+def dict_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct tokens by whether a compiled dictionary would leave them out as trivial."""
+    seen = corpus_tokens(spark, sf_dir).select("surface").distinct()
+    return seen.groupBy(dictionary.trivial(F.col("surface")).alias("is_trivial")).agg(F.count("*").alias("n"))
+
+
+@query
+def dict_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dictionary compiled from plain and conjugating rows."""
+    rows = [(0, "書く", "VERB", "GODAN_KA"), (1, "高い", "ADJ", "I_ADJ"), (2, "本", "NOUN", ""), (3, "書き", "NOUN", ""), (4, "書か", "VERB", None), (5, "食べる", "VERB", "ICHIDAN")]
+    return dictionary.compiled(spark.createDataFrame(rows, "line int, surface string, pos string, conj_type string"))
+
+
+def verbs(spark: SparkSession) -> DataFrame:
+    rows = spark.createDataFrame([(v,) for v in VERB_SAMPLES], "surface string")
+    return rows.withColumn("conj_type", conjugation.detect_type(F.col("surface")))
+
+
+@query
+def conjugate_godan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conjugation.conjugated(verbs(spark).where(F.col("conj_type").startswith("GODAN"))).select("surface", "conj_type", "form_name", "form")
+
+
+@query
+def conjugate_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conjugation.conjugated(verbs(spark).where(~F.col("conj_type").startswith("GODAN"))).select("surface", "conj_type", "form_name", "form")
+
+
+@query
+def detect_verb_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verbs(spark).select("surface", "conj_type", conjugation.stem(F.col("surface"), F.col("conj_type")).alias("stem"))
+
+
+@query
+def pos_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(n,) for k, v in names.POS.items() for n in (k, *v)] + [("nonsense",)], "name string")
+    found = rows.withColumn("pos", names.parse_pos(F.col("name")))
+    return found.select("name", "pos", names.pos_ja(F.col("pos")).alias("pos_ja"), names.is_content(F.col("pos")).alias("is_content"), names.is_function(F.col("pos")).alias("is_function"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return search_rank(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
