@@ -58,6 +58,7 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     the one side emits its other half's ball of radius 1, the other side the ball of what remains of the radius. Whoever
     meets is within the radius by construction, and each links to the least fingerprint that it met, so that a group of n
     gives n edges, not n * n. Either way no link is lost: two linked fingerprints get an edge, or both an edge to a third.
+    Spark's size estimates don't see how far `explode` multiplies rows, so every join here is told to sort and merge.
     """
     low32 = 0xFFFFFFFF
     half = lambda h: F.when(F.lit(h) == 0, F.col("fp").bitwiseAND(low32)).otherwise(F.shiftrightunsigned("fp", 32))
@@ -66,8 +67,8 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     exact = sides.select("h", F.col("own").alias("key"), "fp", "other")
     ball = sides.select("h", "own", "fp", "other", F.explode(near).alias("flip")).select("h", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "fp", "other", F.when(F.col("flip") == 0, RADIUS).otherwise(RADIUS - 1).alias("left"))
 
-    crowded = cut(exact.groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "key"), "hot-halves")
-    a, b = exact.join(crowded, ["h", "key"], "left_anti").alias("a"), ball.alias("b")
+    crowded = cut(exact.groupBy("h", "key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("h", "key"), "hot-halves").hint("merge")
+    a, b = exact.join(crowded, ["h", "key"], "left_anti").alias("a"), ball.hint("merge").alias("b")
     differ = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp")))
     pairs = a.join(b, ["h", "key"]).where((F.col("a.fp") != F.col("b.fp")) & (differ <= RADIUS)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
@@ -78,7 +79,7 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     centres = spread(exact.join(crowded, ["h", "key"], "left_semi"), singles).groupBy("h", "key", "mid").agg(F.min("fp").alias("centre"))
     met = ball.join(crowded, ["h", "key"], "left_semi")
     met = spread(met.where(F.col("left") == RADIUS), doubles).union(spread(met.where(F.col("left") < RADIUS), singles))
-    stars = met.join(centres, ["h", "key", "mid"]).where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
+    stars = met.join(centres.hint("merge"), ["h", "key", "mid"]).where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
     return pairs.union(stars)
 
 
