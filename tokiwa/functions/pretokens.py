@@ -14,9 +14,12 @@ INTEGER = f"{DIGIT}++"
 SIXTY = f"[0-5０-５]?{DIGIT}"
 URL_CHARS = "A-Za-z0-9._~:/?#\\[\\]@!$&'()*+,;=%-"
 
+#: What a URL may end in: points, commas, closing brackets and quotes are the sentence's.
+URL_LAST = "A-Za-z0-9_~:/?#\\[\\]@!$&(*+;=%-"
+
 #: In order of priority: the first that matches at a place takes it. Possessive where a longer run must not be given back.
 KINDS: dict[str, str] = {
-    "url": f"[Hh][Tt][Tt][Pp][Ss]?://[{URL_CHARS}]*[{URL_CHARS}&&[^.,)']]",
+    "url": f"[Hh][Tt][Tt][Pp][Ss]?://[{URL_CHARS}]*[{URL_LAST}]",
     "email": "(?<![A-Za-z0-9._+@-])(?!\\.)[A-Za-z0-9._+-]++(?<!\\.)@(?![.-])(?=[A-Za-z0-9-]*\\.)[A-Za-z0-9.-]++(?<![.-])",
     "hashtag": "[#＃][A-Za-z0-9_゠-ヿ一-鿿＀-～]+",
     "mention": "@[A-Za-z0-9_]++(?!\\.[A-Za-z0-9.-])",

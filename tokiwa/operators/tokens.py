@@ -42,7 +42,7 @@ class TagOptions:
 def closed_form(text: Column) -> Column:
     """Whether the closed form holds for text."""
     odd = java_class("HIRAGANA", "KATAKANA", "KANJI") + "０-９Ａ-Ｚａ-ｚ"
-    long = f"[A-Za-z]{{{MOST_LETTERS + 1}}}|[A-Za-z0-9_]{{{MOST_MIXED + 1}}}|(?<![A-Za-z0-9_])[0-9]+_|_[0-9]+(?![A-Za-z0-9_])"
+    long = f"[A-Za-z]{{{MOST_LETTERS + 1}}}|[A-Za-z0-9_]{{{MOST_MIXED + 1}}}|[0-9]_[0-9]"
     return (F.octet_length(text) <= CHUNK_BYTES) & ~text.rlike(f"[{odd}]") & ~text.rlike(long)
 
 

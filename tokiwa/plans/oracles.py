@@ -43,7 +43,7 @@ def token_cte(source: str, key: str) -> str:
 covered AS (
   SELECT {key}, {PREPARED} AS t FROM {source}
   WHERE octet_length(encode(text)) <= 32768 AND NOT regexp_matches(text, '[{odd}]')
-    AND NOT regexp_matches(text, '[A-Za-z]{{21}}|[A-Za-z0-9_]{{25}}|(?:^|[^A-Za-z0-9_])[0-9]+_|_[0-9]+(?:$|[^A-Za-z0-9_])')
+    AND NOT regexp_matches(text, '[A-Za-z]{{21}}|[A-Za-z0-9_]{{25}}|[0-9]_[0-9]')
 ), parted AS (
   SELECT {key}, string_split_regex(t, '{ALL}') AS gaps, regexp_extract_all(t, '{ALL}') AS hits FROM covered
 ), pieces AS (
@@ -120,5 +120,8 @@ ORACLES["search_rank"] = (
 scored AS (SELECT query_id, doc_id, count(*) AS score FROM asked JOIN postings USING (tag) GROUP BY ALL)
 SELECT query_id, doc_id, score, search_rank::INTEGER AS search_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS search_rank FROM scored) WHERE search_rank <= 10"""
 )
+ORACLES["lattice_benchmark"] = "WITH " + token_cte("benchmark", "item_id") + " SELECT item_id, token_index, surface FROM tokens"
+ORACLES["windowed_tokens"] = """SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS window_start, time_bucket(INTERVAL 10 MINUTES, ts) + INTERVAL 10 MINUTES AS window_end, surface, count(*) AS n
+FROM (SELECT ts, unnest(regexp_extract_all(event_type, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*')) AS surface FROM events) GROUP BY ALL"""
 # entry 15 repeats entry 13, so its matches count with those of the same surface, part of speech and layer
 ORACLES["dict_prefix_join"] = ORACLES["dict_prefix_join"].replace("GROUP BY e.surface, e.pos, e.layer, e.entry_id HAVING e.entry_id <> 15", "GROUP BY e.surface, e.pos, e.layer")

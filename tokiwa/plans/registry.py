@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokiwa.functions import names, pretokens, text
-from tokiwa.operators import conjugation, dictionary, index, rewrites, tokens
+from tokiwa.operators import analyze, conjugation, dictionary, index, lattice, rewrites, tokens
 from tokiwa.plans.oracles import ORACLES
+from tokiwa.sources import writers
+from tokiwa.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -305,6 +307,84 @@ def pos_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("name", "pos", names.pos_ja(F.col("pos")).alias("pos_ja"), names.is_content(F.col("pos")).alias("is_content"), names.is_function(F.col("pos")).alias("is_function"))
 
 
+# the analyzer: every row has a place in the closed form or the lattice
+
+# Japanese samples, and the words that the samples' dictionary knows.
+JAPANESE_SAMPLES = ("私は東京の学生です。", "API開発を3時間", "図書館で本を読む", "新宿駅の近く", "カフェでコーヒーーを飲む", "3億5000万円", "数ヶ月", "２０２４年12月23日")
+JAPANESE_WORDS = (("は", "PARTICLE"), ("が", "PARTICLE"), ("を", "PARTICLE"), ("の", "PARTICLE"), ("で", "PARTICLE"), ("に", "PARTICLE"), ("私", "PRON"), ("です", "AUX"), ("読む", "VERB"), ("飲む", "VERB"), ("近く", "NOUN"), ("ヶ月", "SUFFIX"), ("数", "NOUN"))
+
+
+def japanese(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(JAPANESE_SAMPLES)), "doc_id int, text string")
+
+
+def analyzed(spark: SparkSession, **options) -> DataFrame:
+    words = [lattice.Entry(s, p) for s, p in JAPANESE_WORDS]
+    run = analyze.analyzer(words, lattice.Options(**options))
+    return japanese(spark).select("doc_id", "text", run("text").alias("morphemes"))
+
+
+@query
+def lattice_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lattice over the benchmark texts; where the closed form holds it must agree with it."""
+    run = analyze.analyzer()
+    rows = table(spark, sf_dir, "benchmark").where(tokens.closed_form(F.col("text"))).select("item_id", F.posexplode(run("text")).alias("token_index", "m"))
+    return rows.select("item_id", "token_index", "m.surface")
+
+
+@query
+def all_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Morphemes of all documents: the closed form, and the lattice for the rows that it doesn't cover."""
+    return analyze.morphemes(documents(spark, sf_dir))
+
+
+@query
+def lattice_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Golden check of the lattice with a small dictionary."""
+    return analyzed(spark).select("doc_id", F.posexplode("morphemes").alias("token_index", "m")).select("doc_id", "token_index", "m.surface", "m.pos", "m.start", "m.end", "m.is_dictionary")
+
+
+@query
+def lattice_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three modes side by side."""
+    out = None
+    for mode in ("normal", "search", "split"):
+        rows = analyzed(spark, mode=mode).select(F.lit(mode).alias("mode"), "doc_id", F.posexplode("morphemes").alias("token_index", "m")).select("mode", "doc_id", "token_index", "m.surface", "m.pos")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query
+def lattice_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates of the samples."""
+    run = analyze.explained([lattice.Entry(s, p) for s, p in JAPANESE_WORDS])
+    return japanese(spark).select("doc_id", F.inline(run("text")))
+
+
+@query
+def japanese_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analyzed(spark).select("doc_id", F.posexplode(analyze.tagged(F.col("morphemes"), tokens.TagOptions(exclude_basic=True, pos_filter=3))).alias("place", "t"))
+    return found.select("doc_id", "place", "t.tag", "t.pos")
+
+
+@query
+def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text form of the samples' morphemes."""
+    rows = analyzed(spark)
+    forms = {"text": writers.as_text(rows), "tsv": writers.as_tsv(rows), "json": writers.as_json(rows), "chasen": writers.as_chasen(rows), "tags": writers.as_tags(rows.withColumn("tags", analyze.tagged(F.col("morphemes"))))}
+    out = None
+    for name, form in forms.items():
+        form = form.select(F.lit(name).alias("form"), "value")
+        out = form if out is None else out.unionByName(form)
+    return out
+
+
+@query
+def windowed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types counted as tokens by ten-minute windows, the batch form of the streaming query."""
+    return counts.token_counts(table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("text")))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_rank(spark, sf_dir)
 
