@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,10 +37,30 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends here, and the work is done once."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs that are over; it does so once their plans are collected as garbage."""
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.2)  # for the plans' proxies to be let go
+        spark.sparkContext._jvm.System.gc()
+
+
+def slices(batch: pa.RecordBatch, column: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows of about at_once bytes of text, so that what a worker makes of them at a time stays small."""
+    at = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        size += n
+        if size >= at_once:
+            yield batch.slice(at, i + 1 - at)
+            at, size = i + 1, 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def remainder(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text modulo parts; null where doc_id is null."""
     return F.crc32(doc_id.cast("string")) % parts

@@ -52,15 +52,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     its rate in a join whose other side has a row per source (broadcast only while Spark finds it small, else a
     sort-merge join with skewed partitions split).
     """
-    docs = docs.drop("copy", "shuffle_key")
+    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rates = source_rates(docs, weights, epochs).withColumnRenamed("source", "_source")
-    drawn = docs.join(rates, docs["source"].eqNullSafe(rates["_source"]))
-    one = lambda j: F.size(F.filter(F.col("cdf"), lambda c: c <= uniform(seed, F.col("doc_id"), j)))
-    first = uniform(seed, F.col("doc_id"), F.lit(1))
-    drawn = drawn.withColumn("_u", first)
-    single = F.size(F.filter(F.col("cdf"), lambda c: c <= F.col("_u")))
-    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + one(j))
-    drawn = drawn.withColumn("_n", F.when(F.col("parts") == 1, single).otherwise(several)).where("_n > 0")
-    copies = drawn.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit("order")))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    rows = docs.select(F.struct(*kept).alias("row"))  # so that no column of docs clashes with those made here
+    doc_id = F.col("row.doc_id")
+    drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("u", uniform(seed, doc_id, F.lit(1)))
+    single = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
+    more = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(seed, doc_id, j)))
+    several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + more(j))
+    counted = drawn.withColumn("n", F.when(F.col("parts") == 1, single).otherwise(several)).where("n > 0")
+    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit("order")))
+    dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "row.doc_id", "copy")
+    return dealt.select("row.*", "copy", "shuffle_key")

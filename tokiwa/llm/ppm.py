@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import cut, remainder
+from tokiwa.llm.common import cut, release, remainder
 
 #: Bytes that UTF-8 never has: what stands before a text, and its end, which is predicted like any other symbol.
 BEFORE, END = 0xFE, 0xFF
@@ -203,7 +203,7 @@ def summed(order: int, denominator: float):
     return total
 
 
-def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
     """Score every row of docs (doc_id, text; others are ignored) with a model learnt from the rows not held out.
 
     held_out: a boolean; by default, crc32 of doc_id as text leaves 1 modulo 5 (a null doc_id isn't held out). Returns
@@ -219,7 +219,7 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block
     blocks = max(1, -(-size // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     found = cut(docs.groupBy("block").applyInArrow(gathered(order), "block long, gram long, word binary, n long"), "ppm-found")
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffled texts, which the last step shuffles again
+    release(spark)  # the shuffled texts, which the last step shuffles again
 
     of_grams, of_words = found.where("gram is not null").select("block", "gram", "n"), found.where("word is not null").select("block", "word", "n")
     low = lambda n: F.col("gram").bitwiseAND((1 << 8 * n) - 1)
@@ -228,11 +228,13 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block
     zero = Counter()
     for k, n in one:
         zero[k & 0xFF] += n
+    of_grams = of_grams.repartition("gram")  # once, for the sums and for the join
     trie = of_grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("last", F.shiftright("gram", 8).bitwiseAND(0xFFFF))
     values = trie.groupBy("last").applyInArrow(scored(order, list(zero.items()), one), "gram long, value double")
     counts = cut(of_words.groupBy("word").agg(F.sum("n").alias("n")), "ppm-words")
     n_train, distinct = counts.where("n > 0").agg(F.sum("n"), F.count("*")).first()
     n_train = n_train or 0
+    release(spark)
     fetched = of_grams.join(values, "gram").select("block", "gram", F.lit(None).cast("binary").alias("word"), "value")
     fetched = fetched.union(of_words.drop("n").join(counts, "word").select("block", F.lit(None).cast("long"), "word", F.col("n").cast("double")))
     result = docs.groupBy("block").cogroup(fetched.groupBy("block")).applyInArrow(summed(order, n_train + 0.5 * (distinct + 1)), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -11,10 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import cut
+from tokiwa.llm.common import cut, slices
 from tokiwa.llm.mixing import uniform
 
 
+#: Bytes of texts whose n-grams are in memory at once.
+AT_ONCE = 8 << 20
+
+
 @dataclass(frozen=True)
 class Settings:
     """most_target bounds the labelled rows that make the target model (a hash of doc_id chooses); raw text is all rows."""
@@ -57,7 +61,7 @@ def log_ratios(docs: DataFrame, settings: Settings) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(settings.buckets, np.int64), np.zeros(settings.buckets, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 0, AT_ONCE)):
             bucket, owner = ngrams(batch.column(0), settings)
             raw += np.bincount(bucket, minlength=settings.buckets)
             aimed = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -117,9 +121,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, settings:
     ratios = log_ratios(docs, settings)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, AT_ONCE)):
             bucket, owner = ngrams(batch.column(1), settings)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(owner, ratios[bucket], batch.num_rows))], names=["doc_id", "log_weight"])
+            sums = np.bincount(owner, ratios[bucket], batch.num_rows).astype(np.float64)  # of no n-grams, numpy makes integers
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums)], names=["doc_id", "log_weight"])
 
     u = uniform(settings.seed, F.col("doc_id"))
     gumbel = -F.log(-F.log((u * float(1 << 52) + 0.5) / float(1 << 52)))

@@ -11,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tokiwa.llm.common import slices
+
+#: Bytes of texts whose features are in memory at once.
+AT_ONCE = 2 << 20
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -21,11 +26,11 @@ class Settings:
     stems: tuple[int, ...] = (4, 5, 6, 7)
     grades: int = 2
     epochs: int = 20
-    batch: int = 100
+    batch: int = 50
     rate: float = 0.3
     threshold_rate: float = 0.1
     decay: float = 1e-4
-    least_z: float = 4.0
+    least_z: float = 3.0
     flagged: float = 0.5
     seed: int = 11
 
@@ -182,7 +187,7 @@ def grade(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     place = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, AT_ONCE)):
             rows = Rows(batch.column(place), settings)
             p = model.above(rows)
             p[np.bincount(rows.row, minlength=rows.n) == 0] = 0.0
