@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokiwa.functions.pretokens import KINDS, pieces
+from tokiwa.functions.pretokens import KINDS, STRING_ARRAY, TELLING, pieces, stretches
 from tokiwa.functions.text import java_class, only
 
 #: A word, or an identifier: underscores join only where a letter is in the run.
@@ -42,15 +42,16 @@ class TagOptions:
 def closed_form(text: Column) -> Column:
     """Whether the closed form holds for text."""
     odd = java_class("HIRAGANA", "KATAKANA", "KANJI") + "０-９Ａ-Ｚａ-ｚ"
-    long = f"[A-Za-z]{{{MOST_LETTERS + 1}}}|[A-Za-z0-9_]{{{MOST_MIXED + 1}}}|[0-9]_[0-9]"
+    long = f"(?<![A-Za-z])[A-Za-z]{{{MOST_LETTERS + 1}}}|(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_MIXED + 1}}}|[0-9]_[0-9]"  # only where a run begins
     return (F.octet_length(text) <= CHUNK_BYTES) & ~text.rlike(f"[{odd}]") & ~text.rlike(long)
 
 
 def latin_surfaces(text: Column) -> Column:
     """The surfaces of the tokens of text, symbols removed, in order."""
     boundary = f"^{KINDS['boundary']}$"
-    each = lambda x: F.concat(F.regexp_extract_all(x["gap"], F.lit(RUN), 0), F.when(x["hit"].isNull() | x["hit"].rlike(boundary), F.expr("cast(array() as array<string>)")).otherwise(F.array(x["hit"])))
-    return F.flatten(F.transform(pieces(text), each))
+    piece = lambda x: F.concat(F.regexp_extract_all(x["gap"], F.lit(RUN), 0), F.when(x["hit"].isNull() | x["hit"].rlike(boundary), F.expr(STRING_ARRAY)).otherwise(F.array(x["hit"])))
+    searched = lambda s: F.flatten(F.transform(pieces(s), piece))
+    return F.flatten(F.transform(stretches(text, "[ \n。]"), lambda s: F.when(s.rlike(TELLING), searched(s)).otherwise(F.regexp_extract_all(s, F.lit(RUN), 0))))
 
 
 def token_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

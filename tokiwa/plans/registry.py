@@ -123,7 +123,7 @@ def pretoken_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def pretoken_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of the sequential extractor over all documents, by type."""
-    found = documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(pretokens.PATTERN), 0)).alias("hit"))
+    found = documents(spark, sf_dir).select(F.explode(pretokens.hits(F.col("text"))).alias("hit"))
     return found.groupBy(pretokens.kind_of(F.col("hit")).alias("type")).agg(F.count("*").alias("n"))
 
 
