@@ -12,9 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import remainder
+from tokiwa.llm.common import remainder, slices
 
 UNDETERMINED = "und"
+#: Bytes of texts whose words are in memory at once.
+AT_ONCE = 6 << 20
 #: Bytes that UTF-8 never has mark the ends of words.
 FIRST, LAST = b"\xfe", b"\xff"
 
@@ -90,7 +92,7 @@ class Field:
     start: np.ndarray = field(default=None)
     lexicon: dict[bytes, int] = field(default_factory=dict)
 
-    def emissions(self, words: list[bytes], at_once: int = 50_000) -> np.ndarray:
+    def emissions(self, words: list[bytes], at_once: int = 20_000) -> np.ndarray:
         """Scores of each word for each label; words without letters have none for any."""
         out = np.zeros((len(words), len(self.labels)), dtype=np.float32)
         real = np.flatnonzero(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) > 0)
@@ -306,7 +308,7 @@ def identify(docs: DataFrame, learn: Column | None = None, settings: Settings =
     place = docs.columns.index("text")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, place, AT_ONCE)):
             texts = batch.column(place)
             words, at, offsets = tokens(texts)
             bare = [stripped(w) for w in words]
