@@ -11,43 +11,35 @@ from __future__ import annotations
 import os
 import zlib
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from string import punctuation
 from struct import pack as packed
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import cut
+from tokiwa.llm.common import cut, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-#: Words whose ids a worker remembers before it forgets those that it has not met again since it last forgot some.
+#: Words whose ids a worker remembers; having met that many it keeps them until it has met as many others.
 REMEMBERED = 300_000
-
-
-class Remembered(dict):
-    """A dict that asks `look_up` for what it lacks, and on having grown forgets all but what it last held or meets again."""
-
-    def __init__(self, look_up: Callable[[str], bytes]):
-        super().__init__()
-        self.look_up, self.old = look_up, {}
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        self[key] = value = self.look_up(key) if value is None else value
-        return value
+#: Words that the tokenizer is asked at a time, and how its ids mark a word's end.
+JOINED, WORD_END = 500, "</w>"
+#: Bytes of texts that are taken apart at once.
+AT_ONCE = 16 << 20
 
 
 class WordIds:
-    """Ids of a text, as little-endian 32-bit bytes, from the ids of its words between blanks.
+    """Ids of texts from the ids of their words between blanks and line ends.
 
-    The vocabulary spans no white space, so a text may be taken apart at some of it. A word of Latin-1 letters and digits,
-    in whatever case and before whatever stops and commas, has the ids of its lower case and then those of the stops, as
-    the vocabulary is lower case and its words end where letters end; so the tokenizer sees only the former, once.
+    The vocabulary spans no white space, so a text may be taken apart at some of it; each distinct word of a batch is then
+    looked at once. A word of Latin-1 letters and digits, in whatever case and before whatever ASCII punctuation, has the
+    ids of its lower case and then those of the punctuation, as the vocabulary is lower case and parts letters, digits and
+    punctuation; so only such lower-cased words go to the tokenizer, many at a time, and those already met don't.
     """
 
     def __init__(self, path: str):
@@ -55,35 +47,79 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.cores = Remembered(self.word), Remembered(self.core)
-
-    def __call__(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, text.replace("\n", " ").split(" ")))
-
-    def word(self, word: str) -> bytes:
-        core = word.rstrip(".,")
-        if core.isalnum() and max(core) < "\u0100":
-            return self.cores[core.lower()] + self.cores[word[len(core) :]]
-        return self.core(word)
-
-    def core(self, core: str) -> bytes:
-        ids = self.tokenizer.encode(core, add_special_tokens=False).ids
-        return packed(f"<{len(ids)}I", *ids)
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.word_ends = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.word_ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in one array, and where each text's end in it."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        codes = self.codes(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        begins = np.cumsum(sizes) - sizes
+        places = coded.indices.to_numpy()
+        times = sizes[places]
+        ends = np.cumsum(times)
+        at = np.repeat(begins[places] - (ends - times), times) + np.arange(ends[-1] if len(ends) else 0)
+        ids = np.frombuffer(b"".join(codes), dtype="<u4")[at]
+        words = np.cumsum(pc.list_value_length(lists).to_numpy())
+        return ids, np.concatenate([[0], ends])[words]
+
+    def codes(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit bytes."""
+        if len(self.known) >= REMEMBERED:
+            self.old, self.known = self.known, {"": b""}
+        parts, new, known, old = [], {}, self.known, self.old
+        for word in words:
+            core = word.rstrip(punctuation)
+            if core.isalnum() and max(core) < "\u0100":
+                stops, core = word[len(core) :], core.lower()
+            else:
+                stops, core = "", word
+            parts.append((core, stops))
+            for part in (core, stops):
+                if part not in known:
+                    if (found := old.get(part)) is not None:
+                        known[part] = found
+                    else:
+                        new[part] = None
+        self.learn(new)
+        return [known[core] + known[stops] if stops else known[core] for core, stops in parts]
+
+    def learn(self, new: dict[str, None]) -> None:
+        """Ask the tokenizer. Words wholly of Latin-1 letters are asked many at a time: each ends where a word-end id is."""
+        letters = [w for w in new if w.isalpha() and max(w) < "\u0100"]
+        for at in range(0, len(letters), JOINED):
+            some = letters[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (4 * (np.flatnonzero(self.word_ends[ids]) + 1)).tolist()
+            if len(ends) == len(some):
+                data = ids.tobytes()
+                self.known.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends], ends, strict=False))
+        for word in new:
+            if word not in self.known:
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+                self.known[word] = packed(f"<{len(ids)}I", *ids)
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
     """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, size = WordIds(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
+        word_ids, end, size = WordIds(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = ids(text.as_py() or "") + end
-                for at in range(0, len(data), size):
-                    part = data[at : at + size]
-                    rows.append((doc_id, at // size, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES_ARROW, strict=True)], schema=PIECES_ARROW) if rows else pa.RecordBatch.from_pylist([], schema=PIECES_ARROW)
+            for part in slices(batch, 1, AT_ONCE):
+                ids, ends = word_ids(part.column(1))
+                rows, data = [], ids.tobytes()
+                for doc_id, begin, stop in zip(part.column(0).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    own = data[4 * begin : 4 * stop] + end
+                    for at in range(0, len(own), size):
+                        piece = own[at : at + size]
+                        rows.append((doc_id, at // size, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES_ARROW, strict=True)], schema=PIECES_ARROW)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, PIECES)
 
