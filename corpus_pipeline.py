@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokiwa.llm import langid, mixing, packing, secrets, simhash
-from tokiwa.llm.common import cut, table
+from tokiwa.llm.common import cut, release, table
 from tokiwa.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,7 +27,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = simhash.classes(docs.select("doc_id", "text"))
     keepers = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keepers = cut(keepers, "keepers")
+    keepers = cut(keepers, "keepers").hint("merge")  # the texts are dealt by doc_id alike at every size
+    release(spark)
     kept = docs.join(keepers, "doc_id").select("n", *COLUMNS)
     once, often = kept.where("n = 1").select(*COLUMNS), kept.where("n > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
     return once.union(often).union(docs.where("doc_id is null").select(*COLUMNS))
@@ -43,11 +44,13 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bring all sources to the same weight by replication, and shuffle."""
+    release(spark)
     return mixing.mix(docs).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left, each copy by itself."""
+    release(spark)
     return packing.pack(docs, tokenizer_path())
 
 
