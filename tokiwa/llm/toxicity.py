@@ -21,7 +21,7 @@ AT_ONCE = 2 << 20
 class Settings:
     """most_rows bounds the labelled rows that the model is fitted on (a hash of doc_id chooses); the rest is the fit's."""
 
-    most_rows: int = 6_000
+    most_rows: int = 4_000
     buckets: int = 1 << 18
     stems: tuple[int, ...] = (4, 5, 6, 7)
     grades: int = 2
@@ -50,28 +50,35 @@ def word_features(words: list[str], settings: Settings) -> list[tuple[int, ...]]
     return out
 
 
+def entries(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text and each of its distinct buckets: the text's place, the bucket and its weight."""
+    lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    places = coded.indices.to_numpy().astype(np.int64)
+    buckets = word_features(coded.dictionary.to_pylist(), settings)
+    per_word = np.fromiter(map(len, buckets), dtype=np.int64, count=len(buckets))
+    flat = np.fromiter((b for bs in buckets for b in bs), dtype=np.int64)
+    begin = np.cumsum(per_word) - per_word
+    times = per_word[places]
+    owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), times)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
+    key, count = np.unique(owner * settings.buckets + (flat[np.repeat(begin[places], times) + within] if len(flat) else within), return_counts=True)
+    return key // settings.buckets, key % settings.buckets, 1 + np.log(count)
+
+
 class Rows:
     """Sparse rows: for each text its distinct buckets, weighted 1 + log(count)."""
 
     def __init__(self, texts: pa.Array, settings: Settings):
-        lists = pc.ascii_split_whitespace(pc.utf8_lower(texts))
-        coded = lists.flatten().dictionary_encode()
-        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.n = len(sizes)
-        words = coded.dictionary.to_pylist()
-        places = coded.indices.to_numpy().astype(np.int64)
-        buckets = word_features(words, settings)
-        per_word = np.fromiter(map(len, buckets), dtype=np.int64, count=len(buckets))
-        flat = np.fromiter((b for bs in buckets for b in bs), dtype=np.int64)
-        begin = np.concatenate([[0], np.cumsum(per_word)])[:-1] if len(words) else np.zeros(0, np.int64)
-        row = np.repeat(np.arange(self.n), sizes)
-        times = per_word[places]
-        owner = np.repeat(row, times)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(times) - times, times)
-        found = flat[np.repeat(begin[places], times) + within] if len(flat) else np.zeros(0, np.int64)
-        key, count = np.unique(owner * settings.buckets + found, return_counts=True)
-        self.row, self.bucket = key // settings.buckets, key % settings.buckets
-        self.value = 1 + np.log(count)
+        parts, before = [], 0
+        for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, AT_ONCE):
+            row, bucket, value = entries(part.column(0), settings)
+            parts.append(((row + before).astype(np.int32), bucket.astype(np.int32), value.astype(np.float32)))
+            before += part.num_rows
+        self.n = before
+        none = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32))]
+        self.row, self.bucket, self.value = (np.concatenate(x) for x in zip(*(parts or none), strict=True))
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.bucket] * self.value, self.n)
