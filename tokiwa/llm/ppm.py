@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,9 @@ from tokiwa.llm.common import cut, release, remainder
 BEFORE, END = 0xFE, 0xFF
 SYMBOLS = 256
 #: Bytes of texts whose n-grams are in memory at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 1 << 20
+#: Counts of so many runs of texts are merged into one.
+MERGED = 8
 
 
 def prepared(text: bytes | None) -> bytes:
@@ -45,11 +48,11 @@ def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[real], starts
 
 
-def portions(texts: list[bytes]) -> Iterator[slice]:
-    """Runs of texts of about AT_ONCE bytes."""
+def portions(texts: pa.ChunkedArray) -> Iterator[slice]:
+    """Runs of texts (binary) of about AT_ONCE bytes."""
     at = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        size += n
         if size >= AT_ONCE:
             yield slice(at, i + 1)
             at, size = i + 1, 0
@@ -62,22 +65,28 @@ def gathered(order: int):
 
     def gather(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
-        texts = [prepared(t) for t in rows.column("text").to_pylist()]
-        held = rows.column("held_out").to_pylist()
-        learnt, other, words = [], [], Counter()
-        rare: set[bytes] = set()
-        for kept, out in ((False, learnt), (True, other)):
-            some = [t for t, h in zip(texts, held, strict=True) if h is kept]
-            for part in portions(some):
-                out.append(np.unique(grams(some[part], order)[0], return_counts=True))
-            for t in some:
-                (rare if kept else words).update(t.split())
-            if some:
-                rare.update((b"",)) if kept else words.update({b"": len(some)})
+        learnt, other, words, rare = [], [], Counter(), set()
+        texts, held = rows.column("text"), rows.column("held_out").to_pylist()
+        for part in portions(texts):
+            for kept in (False, True):
+                some = [prepared(t) for t, h in zip(texts[part].to_pylist(), held[part], strict=True) if h is kept]
+                if not some:
+                    continue
+                (other if kept else learnt).append(np.unique(grams(some, order)[0], return_counts=True))
+                for t in some:
+                    (rare if kept else words).update(t.split())
+                if kept:
+                    rare.add(b"")
+                else:
+                    words[b""] += len(some)
+            if len(learnt) >= MERGED:
+                learnt, other = [merged(learnt)], [merged(other)]
         keys, n = merged(learnt)
         more = np.setdiff1d(merged(other)[0], keys)
         unseen = [w for w in rare if w not in words]
         g, w = len(keys) + len(more), len(words) + len(unseen)
+        pa.default_memory_pool().release_unused()
+        del learnt, other, rare, texts
         return pa.table(
             {
                 "block": pa.array(np.full(g + w, block, dtype=np.int64)),
@@ -179,31 +188,38 @@ def summed(order: int, denominator: float):
     """For a block: the sums over its texts of what its n-grams and words have fetched."""
 
     def total(rows: pa.Table, fetched: pa.Table) -> pa.Table:
-        texts = [prepared(t) for t in rows.column("text").to_pylist()]
-        is_gram = fetched.column("gram").is_valid()
-        of_grams, of_words = fetched.filter(is_gram), fetched.filter(fetched.column("word").is_valid())
+        of_grams = fetched.filter(fetched.column("gram").is_valid())
         keys, values = of_grams.column("gram").to_numpy(), of_grams.column("value").to_numpy()
         at = np.argsort(keys)
         keys, values = keys[at], values[at]
-        counts = dict(zip(of_words.column("word").to_pylist(), of_words.column("value").to_pylist(), strict=True))
-        logs = {w: float(np.log10((c + 0.5) / denominator)) for w, c in counts.items()}
-        score = np.zeros(len(texts))
+        del of_grams, at
+        of_words = fetched.filter(fetched.column("word").is_valid())
+        counts = of_words.column("value").to_numpy()
+        names = of_words.column("word")
+        unknown = set(names.filter(pa.array(counts == 0)).to_pylist())
+        logs = dict(zip(names.to_pylist(), np.log10((counts + 0.5) / denominator).tolist(), strict=True))
+        del of_words, names, counts, fetched
+        score, base, n_tokens, n_known = [], [], [], []
+        texts = rows.column("text")
         for part in portions(texts):
-            gram, starts = grams(texts[part], order)
-            score[part] = np.add.reduceat(values[np.searchsorted(keys, gram)], starts)
-        base, n_tokens, n_known = [], [], []
-        for t in texts:
-            words = t.split()
-            words.append(b"")
-            n_tokens.append(len(words))
-            base.append(sum(map(logs.__getitem__, words)))
-            n_known.append(len(words) - sum(not c for c in map(counts.__getitem__, words)))
-        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out"), "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(score)})
+            some = [prepared(t) for t in texts[part].to_pylist()]
+            gram, starts = grams(some, order)
+            score.append(np.add.reduceat(values[np.searchsorted(keys, gram)], starts))
+            for t in some:
+                words = t.split()
+                words.append(b"")
+                n_tokens.append(len(words))
+                base.append(sum(map(logs.__getitem__, words)))
+                n_known.append(len(words) - (sum(w in unknown for w in words) if unknown else 0))
+        del logs, unknown
+        pa.default_memory_pool().release_unused()
+        found = {"n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(np.concatenate(score) if score else [], pa.float64())}
+        return pa.table({"doc_id": rows.column("doc_id"), "held_out": rows.column("held_out")} | found)
 
     return total
 
 
-def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block_bytes: int = 32 << 20) -> DataFrame:
+def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block_bytes: int = 24 << 20) -> DataFrame:
     """Score every row of docs (doc_id, text; others are ignored) with a model learnt from the rows not held out.
 
     held_out: a boolean; by default, crc32 of doc_id as text leaves 1 modulo 5 (a null doc_id isn't held out). Returns
