@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokiwa.operators import lattice, tokens
 
 MORPHEME = "struct<surface:string,start:int,end:int,pos:string,lemma:string,is_dictionary:boolean,is_user_dict:boolean,is_formal_noun:boolean,is_unknown:boolean,is_low_info:boolean>"
+PAIR, MOST_PAIRS = "struct<surface:string,pos:string>", 20_000
 
 
 def dictionary_entries(df: DataFrame, most: int = 2_000_000) -> list[lattice.Entry]:
@@ -76,16 +78,52 @@ def register(spark: SparkSession, entries: list[lattice.Entry] = (), options: la
     spark.udtf.register("tokenize", F.udtf(Tokenize, returnType="token_index int, surface string, start int, end int, pos string, lemma string"))
 
 
-def morphemes(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, token_index, surface, pos): the JVM's closed form where it holds, the lattice for the other rows.
+def _pairs(entries: list[lattice.Entry], options: lattice.Options) -> Callable[[Column], Column]:
+    """As `analyzer`, with surface and pos only, turned to Arrow every MOST_PAIRS of them so that few Python objects live at a time."""
+
+    @F.arrow_udf(f"array<{PAIR}>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        engine = lattice.Analyzer(entries, options)
+        kind = pa.struct([("surface", pa.string()), ("pos", pa.string())])
+
+        def made(offsets: list[int | None], surfaces: list[str], pos: list[str]) -> pa.Array:
+            both = pa.StructArray.from_arrays([pa.array(surfaces, pa.string()), pa.array(pos, pa.string())], fields=list(kind))
+            return pa.ListArray.from_arrays(pa.array([*offsets, len(surfaces)], pa.int32()), both)
 
+        for batch in batches:
+            parts, offsets, surfaces, pos = [], [], [], []
+            for raw in batch:
+                value = raw.as_py()
+                offsets.append(None if value is None else len(surfaces))
+                for m in engine.analyze(value) if value else ():
+                    surfaces.append(m.surface)
+                    pos.append(m.pos)
+                if len(surfaces) > MOST_PAIRS:
+                    parts.append(made(offsets, surfaces, pos))
+                    offsets, surfaces, pos = [], [], []
+            yield pa.concat_arrays([*parts, made(offsets, surfaces, pos)])
+
+    return run
+
+
+def arrays(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, morphemes), an array of surface and pos for each row: the JVM's closed form where it holds, else the lattice.
+
+    Every row passes the Arrow UDF, those of the closed form as null, so nothing is shuffled and streams can have it too.
     With a dictionary, or a mode other than normal, every row goes to the lattice.
     """
-    run = analyzer(entries, options)
-    through = docs.select(key, F.posexplode(run(F.col(text))).alias("token_index", "m")).select(key, "token_index", "m.surface", "m.pos")
+    run = _pairs(entries, options)
     if entries or options != lattice.Options():
-        return through
-    closed = tokens.closed_form(F.col(text))
-    other = docs.where(~closed | closed.isNull()).repartition(key)  # few and slow rows: spread them
-    slow = other.select(key, F.posexplode(run(F.col(text))).alias("token_index", "m")).select(key, "token_index", "m.surface", "m.pos")
-    return tokens.token_rows(docs, text, key).withColumn("pos", F.lit("NOUN")).unionByName(slow)
+        return docs.select(key, run(F.col(text)).alias("morphemes"))
+    noun = lambda s: F.struct(s.alias("surface"), F.lit("NOUN").alias("pos"))
+    rows = docs.select(key, F.col(text).alias("_text"), F.coalesce(tokens.closed_form(F.col(text)), F.lit(False)).alias("_closed"))
+    slow = rows.withColumn("_slow", run(F.when(~F.col("_closed"), F.col("_text"))))
+    return slow.select(key, F.when(F.col("_closed"), F.transform(tokens.latin_surfaces(F.col("_text")), noun)).otherwise(F.col("_slow")).alias("morphemes"))
+
+
+def morphemes(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, token_index, surface, pos) of every row of docs, from `arrays`."""
+    found = arrays(docs, entries, options, text, key)
+    # outer, as Spark infers a filter from the other form, which would make the arrays twice
+    rows = found.select(key, F.posexplode_outer("morphemes").alias("token_index", "m")).where(F.col("token_index").isNotNull())
+    return rows.select(key, "token_index", "m.surface", "m.pos")

@@ -47,6 +47,9 @@ STEP, FALLBACK, BEYOND_DICTIONARY, USER_BONUS = 0.001, 5.0, 3.5, -2.0
 CHUNK_BYTES = 32_768
 BREAKS = re.compile("[\n!?。！？]")
 PRETOKENS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pretokens.KINDS.items()))
+#: What the closed form of `tokiwa.operators.tokens` doesn't cover, and the nouns or symbols of a span that it does.
+NOT_CLOSED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for k in ("HIRAGANA", "KATAKANA", "KANJI") for a, b in text.CLASS_RANGES[k]) + "０-９Ａ-Ｚａ-ｚ]|[A-Za-z]{21}|[A-Za-z0-9_]{25}|[0-9]_[0-9]")
+CLOSED = re.compile("([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)|[^A-Za-z0-9]+")
 DIGITS = str.maketrans(text.wide(text.ASCII_DIGITS), text.ASCII_DIGITS)
 
 
@@ -156,6 +159,7 @@ class Analyzer:
             self.connections[("INTJ", p)] = self.connections[("OTHER", p if p != "INTJ" else "OTHER")]
             self.connections[(p, "INTJ")] = self.connections[(p if p != "INTJ" else "OTHER", "OTHER")]
         self.connections |= options.connection
+        self.plain = not self.entries and options == Options()
 
     # candidates
 
@@ -271,6 +275,12 @@ class Analyzer:
             out.append(e)
         return out[::-1]
 
+    def segmented(self, s: str) -> list[Edge]:
+        """The cheapest path over a span; where its closed form is known, nouns as there and all between them one symbol."""
+        if self.plain and not NOT_CLOSED.search(s):
+            return [Edge(m.start(), m.end(), m[0], "NOUN" if m[1] else "SYMBOL", 0.0) for m in CLOSED.finditer(s)]
+        return self.path(normalized(s, self.options))
+
     # whole texts
 
     def chunks(self, raw: str) -> list[str]:
@@ -306,7 +316,7 @@ class Analyzer:
                     out.append(Morpheme(shown, base + start, base + start + len(surface), "SYMBOL" if kind == "boundary" else "NOUN", shown, is_unknown=False))
                     continue
                 for part, at in ((p, start + sum(map(len, self.chunks(surface)[:i]))) for i, p in enumerate(self.chunks(surface))):
-                    for e in self.path(normalized(part, self.options)):
+                    for e in self.segmented(part):
                         out.append(Morpheme(e.surface, base + at + e.start, base + at + e.end, e.pos, e.lemma or e.surface, e.known, e.user, e.formal, not e.known))
             base += len(chunk)
         return out

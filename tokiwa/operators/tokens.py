@@ -42,8 +42,12 @@ class TagOptions:
 def closed_form(text: Column) -> Column:
     """Whether the closed form holds for text."""
     odd = java_class("HIRAGANA", "KATAKANA", "KANJI") + "０-９Ａ-Ｚａ-ｚ"
-    long = f"(?<![A-Za-z])[A-Za-z]{{{MOST_LETTERS + 1}}}|(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_MIXED + 1}}}|[0-9]_[0-9]"  # only where a run begins
-    return (F.octet_length(text) <= CHUNK_BYTES) & ~text.rlike(f"[{odd}]") & ~text.rlike(long)
+    long = f"(?<![A-Za-z])[A-Za-z]{{{MOST_LETTERS + 1}}}|(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_MIXED + 1}}}"  # only where a run begins
+    # each costly pattern is tried only on texts that a cheap one lets through: all odd characters come from U+2F00 on
+    some_odd = text.rlike(r"[\x{2F00}-\x{10FFFF}]") & text.rlike(f"[{odd}]")
+    some_long = text.rlike(f"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_LETTERS + 1}}}") & text.rlike(long)
+    parted = text.contains("_") & text.rlike("[0-9]_[0-9]")
+    return (F.octet_length(text) <= CHUNK_BYTES) & ~some_odd & ~some_long & ~parted
 
 
 def latin_surfaces(text: Column) -> Column:

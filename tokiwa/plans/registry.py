@@ -136,12 +136,12 @@ def sentence_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_rows(documents(spark, sf_dir))
+    return analyze.morphemes(documents(spark, sf_dir)).select("doc_id", "token_index", "surface")
 
 
 @query
 def latin_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of the documents that the closed form covers: no kana or kanji, one chunk, no run over the caps."""
+    """Tokens of all documents: the closed form, and the lattice for the rows that it doesn't cover."""
     return corpus_tokens(spark, sf_dir)
 
 
@@ -159,10 +159,11 @@ def tags_noun_min2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def tags_max_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first ten tags of each document, from the array of its morphemes, without a shuffle."""
-    docs = documents(spark, sf_dir).where(tokens.closed_form(F.col("text")))
-    noun = lambda s: F.struct(s.alias("surface"), F.lit("NOUN").alias("pos"), s.alias("lemma"), F.lit(False).alias("is_formal_noun"), F.lit(False).alias("is_low_info"))
-    made = docs.select("doc_id", F.transform(tokens.latin_surfaces(F.col("text")), noun).alias("morphemes"))
-    return made.select("doc_id", F.posexplode(tokens.tags(F.col("morphemes"), tokens.TagOptions(max_tags=10, pos_filter=1))).alias("place", "t")).select("doc_id", "place", "t.tag", "t.pos")
+    found = analyze.arrays(documents(spark, sf_dir))
+    whole = lambda m: F.struct(m["surface"], m["pos"], m["surface"].alias("lemma"), F.lit(False).alias("is_formal_noun"), F.lit(False).alias("is_low_info"))  # noqa: E731  # without a dictionary
+    made = found.select("doc_id", F.transform("morphemes", whole).alias("morphemes"))
+    rows = made.select("doc_id", F.posexplode_outer(tokens.tags(F.col("morphemes"), tokens.TagOptions(max_tags=10, pos_filter=1))).alias("place", "t")).where(F.col("place").isNotNull())
+    return rows.select("doc_id", "place", "t.tag", "t.pos")
 
 
 @query
@@ -180,7 +181,7 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text as a query; ties by doc_id."""
-    asked = tokens.token_rows(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
+    asked = analyze.morphemes(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
     return index.search(asked, index.postings(corpus_tokens(spark, sf_dir)), top=10)
 
 
