@@ -31,13 +31,18 @@ CHAR_CLASSES = (
 
 @dataclass(frozen=True)
 class Limits:
-    """Texts shorter than the guards are not judged by the histogram that they guard."""
+    """Texts under least_words fail, and those under least_chars are not judged by character classes.
+
+    From least_judged_words on the limit of the word distance is flat; shorter texts have more sampling noise, so below it
+    the limit rises by word_noise * (1 / sqrt(n_words) - 1 / sqrt(least_judged_words)).
+    """
 
     least_words: int = 50
     least_chars: int = 200
     least_judged_words: int = 120
     most_char_distance: float = 0.25
     most_word_distance: float = 0.28
+    word_noise: float = 1.2
 
 
 def covered_by_repeats(words: Column) -> Column:
@@ -127,7 +132,7 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance and
     word_distance: the Jensen-Shannon distances (0 to 1) of the row's character classes and common words (with one bin
     for all other words) from those of all rows of its language, null lang being a language of its own. kept: base rules
-    passed, and each distance, where the text is long enough for it, within its limit. A null or empty text has no
+    passed, and each distance within its limit, which for words rises as a text gets shorter. A null or empty text has no
     words and fails the base rules; its distances are null. Repeated rows and null doc_ids are judged like others.
     """
     rows = cut(features(docs), "quality-features")
@@ -145,7 +150,8 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     df = df.withColumn("char_distance", F.when(F.col("_n") > 0, distance(by_char))).withColumn("word_distance", F.when(F.col("n_words") > 0, distance(by_word)))
     failed = (F.col("n_words") < limits.least_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     chars_ok = (F.col("_n") < limits.least_chars) | (F.round("char_distance", 9) <= limits.most_char_distance)
-    words_ok = (F.col("n_words") < limits.least_judged_words) | (F.round("word_distance", 9) <= limits.most_word_distance)
+    noise = F.lit(limits.word_noise) * F.greatest(F.pow(F.col("n_words"), F.lit(-0.5)) - max(limits.least_judged_words, 1) ** -0.5, F.lit(0.0))
+    words_ok = F.round("word_distance", 9) <= F.lit(limits.most_word_distance) + noise
     return df.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
         (~failed & chars_ok & words_ok).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"),
