@@ -400,7 +400,8 @@ def summed(order: int, denominator: float) -> Callable:
                     score.append([sum(float(values[0][np.searchsorted(keys[0], g)].sum()) for g in pieces(some[0], order))])
                 else:
                     gram, starts = grams(some, order)
-                    score.append(np.add.reduceat(values[0][np.searchsorted(keys[0], gram)], starts))
+                    once, place = np.unique(gram, return_inverse=True)  # what is looked up in order stays in the caches
+                    score.append(np.add.reduceat(values[0][np.searchsorted(keys[0], once)][place], starts))
                 for t in some:
                     words = t.split()
                     words.append(b"")
