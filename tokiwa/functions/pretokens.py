@@ -82,41 +82,57 @@ def hits(text: Column) -> Column:
     return F.flatten(F.transform(stretches(text), lambda s: F.when(s.rlike(TELLING), F.regexp_extract_all(s, F.lit(PATTERN), 0)).otherwise(F.expr(STRING_ARRAY))))
 
 
-def matches(text: Column) -> Column:
-    """The matches as array<struct<kind, surface, start, end, type>> with kind `token`; offsets are code points.
+def running(lengths: Column) -> Column:
+    """Where each of some lengths begins if they stand one after the other.
 
-    A number with hyphens has its digits narrowed, the only surface that differs from the source.
+    Higher-order functions have no running sum, and an array that grows by one is copied each time. So sums run inside
+    blocks of about the square root of all and over the blocks: n times its root steps, not its square.
     """
+    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    scan = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)
+
+    def blocked(xs: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / size).cast("int") - 1, F.lit(0))), lambda k: scan(F.slice(xs, k * size + 1, size)))
+        shifted = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["at"]))["out"], lambda b, at: F.transform(b["out"], lambda x: x + at)))
+        return F.transform(F.array(blocks), shifted)[0]
 
-    def within(stretch: Column, begin: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["hit"])
-            kind = kind_of(x["hit"])
-            shown = F.when(kind == "number", F.translate(x["hit"], wide(ASCII_DIGITS), ASCII_DIGITS)).otherwise(x["hit"])
-            token = F.struct(F.lit("token").alias("kind"), shown.alias("surface"), start.alias("start"), end.alias("end"), kind.alias("type"))
-            return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(token)).alias("out")))
+    return F.transform(F.array(lengths), blocked)[0]
 
-        return F.aggregate(pieces(stretch), F.struct(begin.alias("at"), F.expr(f"cast(array() as array<{PIECE}>)").alias("out")), step)["out"]
 
-    def step(acc: Column, stretch: Column) -> Column:
-        out = F.when(stretch.rlike(TELLING), F.concat(acc["out"], within(stretch, acc["at"]))).otherwise(acc["out"])
-        return F.struct((acc["at"] + F.length(stretch) + 1).alias("at"), out.alias("out"))
+def parted(text: Column) -> Column:
+    """text as array<struct<hit, gap, start>>: each match with what stands after it, the first without a match."""
+    marked = F.array_join(F.transform(stretches(text), lambda s: F.when(s.rlike(TELLING), F.regexp_replace(s, f"({PATTERN})", f"{OPEN}$1{CLOSE}")).otherwise(s)), " ")
+    cut = F.transform(F.split(marked, OPEN, -1), lambda p, i: F.struct(F.when(i > 0, F.substring_index(p, CLOSE, 1)).alias("hit"), F.when(i > 0, F.substring_index(p, CLOSE, -1)).otherwise(p).alias("gap")))
+    again = lambda hits, gaps: F.transform(gaps, lambda g, i: F.struct(F.when(i > 0, F.get(hits, i - 1)).alias("hit"), g.alias("gap")))
+    alone = F.transform(F.array(F.struct(F.regexp_extract_all(text, F.lit(PATTERN), 0).alias("h"), F.split(text, PATTERN, -1).alias("g"))), lambda x: again(x["h"], x["g"]))[0]
+    parts = F.when(text.contains(OPEN) | text.contains(CLOSE), alone).otherwise(cut)
+    length = lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0))
+    placed = lambda ps: F.zip_with(ps, running(F.transform(ps, length)), lambda p, at: F.struct(p["hit"].alias("hit"), p["gap"].alias("gap"), at.alias("start")))
+    return F.transform(F.array(parts), placed)[0]
 
-    return F.aggregate(stretches(text), F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{PIECE}>)").alias("out")), step)["out"]
+
+def _token(p: Column) -> Column:
+    kind = kind_of(p["hit"])
+    shown = F.when(kind == "number", F.translate(p["hit"], wide(ASCII_DIGITS), ASCII_DIGITS)).otherwise(p["hit"])
+    return F.struct(F.lit("token").alias("kind"), shown.alias("surface"), p["start"].alias("start"), (p["start"] + F.length(p["hit"])).alias("end"), kind.alias("type"))
+
+
+def matches(text: Column) -> Column:
+    """The matches as array<struct<kind, surface, start, end, type>> with kind `token`; offsets are code points.
+
+    A number with hyphens has its digits narrowed, the only surface that differs from the source.
+    """
+    return F.transform(F.filter(parted(text), lambda p: p["hit"].isNotNull()), _token)
 
 
 def pretokens(text: Column) -> Column:
     """array<struct<kind, surface, start, end, type>> that tiles text: the matches, and kind `span` for what is between."""
 
-    def tiled(found: Column) -> Column:
-        def around(i: Column) -> Column:
-            start = F.coalesce(F.get(found, i - 1)["end"], F.lit(0))
-            end = F.coalesce(F.get(found, i)["start"], F.length(text))
-            span = F.struct(F.lit("span").alias("kind"), F.substr(text, start + 1, end - start).alias("surface"), start.alias("start"), end.alias("end"), F.lit(None).cast("string").alias("type"))
-            gap = F.when(end > start, F.array(span)).otherwise(F.expr(f"cast(array() as array<{PIECE}>)"))
-            return F.when(i < F.size(found), F.concat(gap, F.array(F.get(found, i)))).otherwise(gap)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(found)), around))
+    def tiles(p: Column) -> Column:
+        begin = p["start"] + F.coalesce(F.length(p["hit"]), F.lit(0))
+        span = F.struct(F.lit("span").alias("kind"), p["gap"].alias("surface"), begin.alias("start"), (begin + F.length(p["gap"])).alias("end"), F.lit(None).cast("string").alias("type"))
+        none = F.expr(f"cast(array() as array<{PIECE}>)")
+        return F.concat(F.when(p["hit"].isNotNull(), F.array(_token(p))).otherwise(none), F.when(F.length(p["gap"]) > 0, F.array(span)).otherwise(none))
 
-    return F.transform(F.array(matches(text)), tiled)[0]
+    return F.flatten(F.transform(parted(text), tiles))

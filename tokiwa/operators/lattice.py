@@ -1,19 +1,20 @@
 """Minimum-cost segmentation: candidate words over a text, costs, and the cheapest path through them.
 
-Pure Python without Spark; `tokiwa.operators.analyze` runs it on Arrow batches. What it knows of words comes from the
-dictionary that it is given; on its own it proposes runs of one character class, identifiers, and numbers or letters
-joined with Japanese. The conjugation-dependent candidates of verbs and adjectives are not built.
+Pure Python without Spark; `tokiwa.operators.analyze` runs it on Arrow batches. Words come from the closed classes that
+are built in, from the dictionary that it is given, and from candidates: runs of one character class, identifiers, numbers
+or letters joined with Japanese, and conjugated words (`tokiwa.grammar.candidates`).
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 
 from tokiwa.functions import pretokens, text
+from tokiwa.grammar import candidates, categories, lemmas, words
 
 # The thirteen classes of coarse connection costs, and the costs from each (row) to each (column).
 COARSE = ("NOUN", "VERB", "ADJ", "ADV", "PARTICLE", "AUX", "CONJ", "DET", "PRON", "PREFIX", "SUFFIX", "SYMBOL", "OTHER")
@@ -34,14 +35,14 @@ COARSE_COSTS = (
 )
 # The parts of speech in the order in which equal costs at the end are decided, INTJ with OTHER's costs.
 ORDER = ("UNKNOWN", "NOUN", "VERB", "ADJ", "ADV", "PARTICLE", "AUX", "CONJ", "DET", "PRON", "PREFIX", "SUFFIX", "SYMBOL", "INTJ", "OTHER")
-# The cost of a dictionary word by its part of speech.
-WORD_COSTS = {"NOUN": 0.5, "VERB": 0.5, "ADJ": 0.5, "ADV": 0.5, "PARTICLE": 0.3, "AUX": 0.3, "CONJ": 0.4, "DET": 0.4, "PRON": 0.4, "PREFIX": 0.5, "SUFFIX": 0.5, "SYMBOL": 0.3, "INTJ": 0.5, "OTHER": 0.8}
+# What a word at a text's start costs, by part of speech or, on top of that, by category.
 START_COSTS = {"SUFFIX": 3.0, "CONJ": -0.5}
+START_CATEGORY_COSTS = {"AUX_様態": 0.5, "AUX_進行": 1.0, "AUX_過去": 2.0, "PART_終": 2.0}
 # Longest runs proposed by class; the particles that end a run of hiragana; kanji that count.
 LONGEST = {"KANJI": 16, "KATAKANA": 16, "HIRAGANA": 6, "ALPHABET": 20, "DIGIT": 24}
 LONGEST_OTHER, LONGEST_IDENTIFIER = 12, 24
 CASE_ENDS, SOFT_ENDS, NOUN_STARTS, NEVER_FIRST = "をが", "はにへのでともか", "はにへの", "ゃゅょぁぃぅぇぉっ"
-COUNTERS = "年月日時分秒個本人枚匹頭羽冊台回階件名歳才円点度番号丁目軒杯着足組問週間行列級段位倍割対"
+COUNTERS = "円銭万億兆分秒時日月年週期世個本人台枚杯回歳才階号番匹冊件丁通発点票頭羽着足軒組曲巻畳割部面問章棟戸席食泊口束両機基隻度倍段級位種色名話連敗勝戦間紀次"
 
 STEP, FALLBACK, BEYOND_DICTIONARY, USER_BONUS = 0.001, 5.0, 3.5, -2.0
 CHUNK_BYTES = 32_768
@@ -55,11 +56,22 @@ DIGITS = str.maketrans(text.wide(text.ASCII_DIGITS), text.ASCII_DIGITS)
 
 @dataclass(frozen=True)
 class Entry:
+    """A dictionary word. Without a category it has the one that its part of speech and ending suggest."""
+
     surface: str
     pos: str
     lemma: str = ""
     user: bool = False
     formal: bool = False
+    extended_pos: str = ""
+
+    def __post_init__(self):
+        if self.pos not in ORDER or self.pos == "UNKNOWN" or not self.surface:
+            raise ValueError(f"no dictionary word: {self.surface!r} as {self.pos!r}")
+        if not self.extended_pos:
+            object.__setattr__(self, "extended_pos", categories.category(self.surface, self.pos))
+        elif self.extended_pos not in categories.COST:
+            raise ValueError(f"unknown category of {self.surface!r}: {self.extended_pos!r}")
 
 
 @dataclass(frozen=True)
@@ -72,6 +84,9 @@ class Options:
     remove_symbols: bool = True
     least_bytes: int = 1
     connection: dict[tuple[str, str], float] = field(default_factory=dict)
+    built_in: bool = True
+    lemmatize: bool = True
+    merge_compounds: bool = False
 
     def __post_init__(self):
         if self.mode not in ("normal", "search", "split"):
@@ -89,6 +104,7 @@ class Edge:
     known: bool = False
     user: bool = False
     formal: bool = False
+    extended_pos: str = ""
 
 
 @dataclass(frozen=True)
@@ -102,6 +118,9 @@ class Morpheme:
     is_user_dict: bool = False
     is_formal_noun: bool = False
     is_unknown: bool = True
+    extended_pos: str = ""
+    conj_type: str | None = None
+    conj_form: str | None = None
 
 
 def normalized(raw: str, options: Options) -> str:
@@ -151,15 +170,30 @@ class Analyzer:
     def __init__(self, entries: list[Entry] = (), options: Options = Options()):
         self.options = options
         self.entries: dict[str, list[Entry]] = defaultdict(list)
+        for surface, pos, name, lemma in words.built_in() if options.built_in else ():
+            self.entries[surface].append(Entry(surface, pos, lemma, False, name == "NOUN_形式", name))
         for e in entries:
             self.entries[e.surface].append(e)
+        self.conjugating = {e.lemma or e.surface for es in self.entries.values() for e in es if e.pos in ("VERB", "ADJ")}
         self.longest = max(map(len, self.entries), default=0)
         self.connections = {(a, b): COARSE_COSTS[i][j] for i, a in enumerate(COARSE) for j, b in enumerate(COARSE)}
         for p in (*COARSE, "INTJ"):
             self.connections[("INTJ", p)] = self.connections[("OTHER", p if p != "INTJ" else "OTHER")]
             self.connections[(p, "INTJ")] = self.connections[(p if p != "INTJ" else "OTHER", "OTHER")]
-        self.connections |= options.connection
-        self.plain = not self.entries and options == Options()
+        self.links = categories.links() | options.connection
+        self.rules = categories.surface_rules()
+        #: Whether no entry can stand in a span of the closed form, so that spans that it covers needn't be searched.
+        self.plain = options.preserve_case and all(NOT_CLOSED.search(w) for w in self.entries)
+
+    def word_cost(self, e: Entry) -> float:
+        contracted = 1.0 if e.extended_pos == "VERB_未然" and e.surface[-1] in "ぬん" and len(e.surface) > 1 else 0.0  # 書かぬ is 書か and ぬ
+        return categories.COST[e.extended_pos] + contracted + (USER_BONUS if e.user else 0.0)
+
+    def link(self, before: Edge | None, e: Edge) -> float:
+        """What e costs after before, or at the start."""
+        if before is None:
+            return START_COSTS.get(e.pos, 0.0) + START_CATEGORY_COSTS.get(e.extended_pos, 0.0)
+        return self.connections.get((before.pos, e.pos), 0.0) + self.links.get((before.extended_pos, e.extended_pos), 0.0) + sum(r.cost for r in self.rules.get(before.extended_pos, ()) if r.holds(before.surface, e.extended_pos, e.surface))
 
     # candidates
 
@@ -233,20 +267,40 @@ class Analyzer:
                 out.append(Edge(at, stop, s[at:stop], "NOUN", add))
         return out
 
+    def drawn_out(self, s: str, e: Edge) -> list[Edge]:
+        """A verb, adjective or auxiliary with the small vowels, っ and ー, or its own vowel twice or more, that someone drew it out with."""
+        if e.pos not in ("VERB", "AUX", "ADJ") or e.end == len(s):
+            return []
+        out = []
+        m = candidates.LONG_DRAWN.match(s, e.end) if e.surface[-1] not in "っー" else None
+        if m and not (m.end() < len(s) and text.char_class(s[m.end()]) == "HIRAGANA"):
+            out.append((m.end(), e.cost + 0.3 * len(m[0])))
+        vowel, stop = candidates.VOWELS.get(e.surface[-1]), e.end
+        while stop < len(s) and s[stop] == vowel:
+            stop += 1
+        if stop > e.end + 1:
+            out.append((stop, e.cost - 0.5 + 0.05 * (stop - e.end)))
+        return [Edge(e.start, stop, s[e.start : stop], e.pos, cost, e.lemma or e.surface, True, e.user, extended_pos=e.extended_pos) for stop, cost in out]
+
     def edges(self, s: str) -> list[list[Edge]]:
         """Candidates by where they begin, in the order in which equal costs are decided."""
         kinds = [text.char_class(c) for c in s]
         out = []
         for at, kind in enumerate(kinds):
             known = [e for n in range(1, min(self.longest, len(s) - at) + 1) for e in self.entries.get(s[at : at + n], ())]
-            here = [Edge(at, at + len(e.surface), e.surface, e.pos, WORD_COSTS.get(e.pos, 0.5) + USER_BONUS * e.user, e.lemma, True, e.user, e.formal) for e in known]
+            here = [Edge(at, at + len(e.surface), e.surface, e.pos, self.word_cost(e), e.lemma, True, e.user, e.formal, e.extended_pos) for e in known]
+            here += [x for e in here for x in self.drawn_out(s, e)]
             reach = max((len(e.surface) for e in known), default=0)
             for e in self.runs(s, kinds, at) + (self.identifier(s, kinds, at) if kind in ("ALPHABET", "DIGIT") else []):
-                more = BEYOND_DICTIONARY if reach and e.end - e.start > reach else 0.0
-                here.append(Edge(e.start, e.end, e.surface, e.pos, e.cost + more))
+                single = kind == "KANJI" and reach == 1  # a kanji that is a word by itself begins many compounds
+                more = BEYOND_DICTIONARY if reach and e.end - e.start > reach and not single else 0.0
+                here.append(Edge(e.start, e.end, e.surface, e.pos, e.cost + more, extended_pos=categories.DEFAULT[e.pos]))
+            if kind in ("KANJI", "HIRAGANA", "KATAKANA"):
+                made = candidates.candidates(s, at, kind, self.conjugating.__contains__, self.options.mode != "split")
+                here += [Edge(at, c.end, s[at : c.end], categories.POS_OF[c.category] if c.category != "UNKNOWN" else "AUX", c.cost, c.lemma, extended_pos=c.category) for c in made]
             if kind in ("ALPHABET", "DIGIT") and self.options.mode != "split":
-                here += self.mixed(s, kinds, at)
-            out.append(here or [Edge(at, at + 1, s[at], "OTHER", FALLBACK)])
+                here += [Edge(e.start, e.end, e.surface, e.pos, e.cost, extended_pos=categories.DEFAULT[e.pos]) for e in self.mixed(s, kinds, at)]
+            out.append(here or [Edge(at, at + 1, s[at], "OTHER", FALLBACK, extended_pos="OTHER")])
         return out
 
     # search
@@ -262,8 +316,7 @@ class Analyzer:
             for e in here if reached else ():
                 cost, later = single(e.cost), states[e.end]
                 for tag, (so_far, before, _) in reached:
-                    link = START_COSTS.get(e.pos, 0.0) if before is None else self.connections.get((before.pos, e.pos), 0.0)
-                    total = single(single(single(so_far + cost) + single(link)) + single(STEP))
+                    total = single(single(single(so_far + cost) + single(self.link(before, e))) + single(STEP))
                     if e.pos not in later or total < later[e.pos][0]:
                         later[e.pos] = (total, e, (at, tag))
         ends = sorted(states[len(s)].items(), key=lambda x: ORDER.index(x[0]))
@@ -278,7 +331,7 @@ class Analyzer:
     def segmented(self, s: str) -> list[Edge]:
         """The cheapest path over a span; where its closed form is known, nouns as there and all between them one symbol."""
         if self.plain and not NOT_CLOSED.search(s):
-            return [Edge(m.start(), m.end(), m[0], "NOUN" if m[1] else "SYMBOL", 0.0) for m in CLOSED.finditer(s)]
+            return [Edge(m.start(), m.end(), m[0], kind, 0.0, extended_pos=kind) for m in CLOSED.finditer(s) for kind in ("NOUN" if m[1] else "SYMBOL",)]
         return self.path(normalized(s, self.options))
 
     # whole texts
@@ -313,18 +366,20 @@ class Analyzer:
             for surface, kind, start in self.spans(chunk):
                 if kind:
                     shown = surface.translate(DIGITS) if kind == "number" else surface
-                    out.append(Morpheme(shown, base + start, base + start + len(surface), "SYMBOL" if kind == "boundary" else "NOUN", shown, is_unknown=False))
+                    out.append(Morpheme(shown, base + start, base + start + len(surface), "SYMBOL" if kind == "boundary" else "NOUN", shown, is_unknown=False, extended_pos="SYMBOL" if kind == "boundary" else "NOUN"))
                     continue
                 for part, at in ((p, start + sum(map(len, self.chunks(surface)[:i]))) for i, p in enumerate(self.chunks(surface))):
                     for e in self.segmented(part):
-                        out.append(Morpheme(e.surface, base + at + e.start, base + at + e.end, e.pos, e.lemma or e.surface, e.known, e.user, e.formal, not e.known))
+                        out.append(Morpheme(e.surface, base + at + e.start, base + at + e.end, e.pos, e.lemma or e.surface, e.known, e.user, e.formal, not e.known, e.extended_pos))
             base += len(chunk)
         return out
 
     def analyze(self, raw: str) -> list[Morpheme]:
         """Morphemes of raw, after the rewrites."""
-        found = joined_numbers(self.raw_morphemes(raw))
-        if self.options.mode == "search":
+        found = joined_numbers(nouns_after_prefixes(self.raw_morphemes(raw)))
+        if self.options.lemmatize:
+            found = nouns_with_mono([lemmas.completed(m, found[i + 1] if i + 1 < len(found) else None, self.conjugating) if m.pos in ("VERB", "ADJ") else m for i, m in enumerate(found)])
+        if self.options.mode == "search" or (self.options.merge_compounds and self.options.mode != "split"):
             found = joined_nouns(found)
         found = joined_bars(found)
         return [m for m in found if not (self.options.remove_symbols and m.pos == "SYMBOL") and len(m.surface.encode()) >= self.options.least_bytes]
@@ -335,7 +390,29 @@ NUMERIC, LARGE_END, UNIT = re.compile("^[0-9０-９]"), re.compile("[兆億万
 
 def joined(parts: list[Morpheme], pos: str | None = None) -> Morpheme:
     surface, first = "".join(m.surface for m in parts), parts[0]
-    return Morpheme(surface, first.start, parts[-1].end, pos or first.pos, surface, first.is_dictionary, first.is_user_dict, first.is_formal_noun, first.is_unknown)
+    return Morpheme(surface, first.start, parts[-1].end, pos or first.pos, surface, first.is_dictionary, first.is_user_dict, first.is_formal_noun, first.is_unknown, first.extended_pos if pos is None else pos)
+
+
+def nouns_after_prefixes(ms: list[Morpheme]) -> list[Morpheme]:
+    """A verb after お, ご or 御 is a noun with its surface as lemma, unless a causative follows."""
+    out = []
+    for i, m in enumerate(ms):
+        polite = i and ms[i - 1].pos == "PREFIX" and ms[i - 1].surface in ("お", "ご", "御")
+        if polite and m.pos == "VERB" and not (i + 1 < len(ms) and ms[i + 1].extended_pos == "AUX_使役"):
+            m = replace(m, pos="NOUN", lemma=m.surface, extended_pos="NOUN_転成")
+        out.append(m)
+    return out
+
+
+def nouns_with_mono(ms: list[Morpheme]) -> list[Morpheme]:
+    """A verb in the form that joins and the formal noun もの after it are one noun."""
+    out: list[Morpheme] = []
+    for m in ms:
+        if m.surface == "もの" and m.is_formal_noun and out and out[-1].pos == "VERB" and out[-1].conj_form == "RENYOKEI":
+            first = out.pop()
+            m = Morpheme(first.surface + m.surface, first.start, m.end, "NOUN", first.surface + m.surface, is_unknown=first.is_unknown, extended_pos="NOUN")
+        out.append(m)
+    return out
 
 
 def joined_numbers(ms: list[Morpheme]) -> list[Morpheme]:
@@ -374,7 +451,7 @@ def joined_nouns(ms: list[Morpheme]) -> list[Morpheme]:
             out[-1].append(m)
         else:
             out.append([m])
-    return [parts[0] if len(parts) == 1 else Morpheme("".join(p.surface for p in parts), parts[0].start, parts[-1].end, "NOUN", "".join(p.lemma for p in parts), is_unknown=parts[0].is_unknown) for parts in out]
+    return [parts[0] if len(parts) == 1 else Morpheme("".join(p.surface for p in parts), parts[0].start, parts[-1].end, "NOUN", "".join(p.lemma for p in parts), is_unknown=parts[0].is_unknown, extended_pos="NOUN") for parts in out]
 
 
 def joined_bars(ms: list[Morpheme]) -> list[Morpheme]:
@@ -384,7 +461,7 @@ def joined_bars(ms: list[Morpheme]) -> list[Morpheme]:
     for m in ms:
         if m.surface.strip("ー") == "" and m.surface and out and out[-1].pos != "SYMBOL":
             p = out[-1]
-            out[-1] = Morpheme(p.surface if open_ else p.surface + "ー", p.start, m.end, p.pos, p.lemma if open_ or not p.lemma else p.lemma + "ー", p.is_dictionary, p.is_user_dict, p.is_formal_noun, p.is_unknown)
+            out[-1] = replace(p, end=m.end) if open_ else replace(p, surface=p.surface + "ー", end=m.end, lemma=p.lemma + "ー" if p.lemma else p.lemma)
             open_ = True
         else:
             out.append(m)

@@ -63,6 +63,35 @@ def token_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     return docs.where(closed_form(F.col(text))).select(key, F.posexplode(latin_surfaces(F.col(text))).alias("token_index", "surface"))
 
 
+# The bits of pos_filter by name, and the parts of speech that each lets through.
+POS_BITS = {"noun": 1, "verb": 2, "adjective": 4, "adverb": 8}
+BIT_POS = {1: ("NOUN", "PRON"), 2: ("VERB",), 4: ("ADJ",), 8: ("ADV",)}
+
+
+def masked(bits: int) -> list[str]:
+    """The parts of speech that a mask lets through."""
+    return [p for bit, names in BIT_POS.items() if bits & bit for p in names]
+
+
+def plain_tags(morphemes: list, options: TagOptions = TagOptions()) -> list[tuple[str, str]]:
+    """As `tags`, of Python morphemes: for functions that hold them as such."""
+    out: list[tuple[str, str]] = []
+    seen: set[str] = set()
+    left_out = {"CONJ", "SYMBOL"} | ({"PARTICLE"} if options.exclude_particles else set()) | ({"AUX"} if options.exclude_auxiliaries else set())
+    for m in morphemes:
+        if options.max_tags and len(out) >= options.max_tags:
+            break
+        tag = m.lemma if options.use_lemma and m.lemma else m.surface
+        basic = options.exclude_basic and all("\u3040" <= c <= "\u309f" for c in m.lemma or m.surface)
+        if m.pos in left_out or (options.exclude_formal_nouns and m.is_formal_noun) or (options.pos_filter and m.pos not in masked(options.pos_filter)) or basic:
+            continue
+        if len(tag) < options.min_tag_length or (options.remove_duplicates and tag in seen):
+            continue
+        seen.add(tag)
+        out.append((tag, m.pos))
+    return out
+
+
 def tags(morphemes: Column, options: TagOptions = TagOptions()) -> Column:
     """Tags of an array of morphemes (surface, pos, lemma, is_formal_noun, is_low_info): array<struct<tag, pos>>.
 
@@ -81,17 +110,18 @@ def tags(morphemes: Column, options: TagOptions = TagOptions()) -> Column:
         if options.exclude_low_info:
             ok = ok & ~F.coalesce(m["is_low_info"], F.lit(False))
         if options.pos_filter:
-            bits = {1: ("NOUN", "PRON"), 2: ("VERB",), 4: ("ADJ",), 8: ("ADV",)}
-            ok = ok & m["pos"].isin(*[p for bit, names in bits.items() if options.pos_filter & bit for p in names])
+            ok = ok & m["pos"].isin(*masked(options.pos_filter))
         if options.exclude_basic:
             ok = ok & ~only(F.when(F.length(m["lemma"]) > 0, m["lemma"]).otherwise(m["surface"]), "HIRAGANA")
         return ok & (F.length(shown(m)) >= options.min_tag_length)
 
     found = F.transform(F.filter(morphemes, keep), lambda m: F.struct(shown(m).alias("tag"), m["pos"].alias("pos")))
     if options.remove_duplicates:
-        # array_distinct keeps the first of equals, so positions of the first of each tag pick the entries
-        firsts = lambda ts: F.transform(F.array_distinct(F.transform(ts, lambda t: t["tag"])), lambda tag: F.get(F.filter(ts, lambda t: t["tag"] == tag), 0))
-        found = F.transform(F.array(found), firsts)[0]
+        # sorted by tag and place, the first of each run of one tag is its first; then back in order of place
+        placed = F.array_sort(F.transform(found, lambda t, i: F.struct(t["tag"].alias("tag"), i.alias("place"), t["pos"].alias("pos"))))
+        firsts = lambda ts: F.filter(ts, lambda t, i: (i == 0) | (F.get(ts, i - 1)["tag"] != t["tag"]))
+        kept = F.array_sort(F.transform(F.transform(F.array(placed), firsts)[0], lambda t: F.struct(t["place"].alias("place"), t["tag"].alias("tag"), t["pos"].alias("pos"))))
+        found = F.transform(kept, lambda t: F.struct(t["tag"].alias("tag"), t["pos"].alias("pos")))
     return F.slice(found, 1, options.max_tags) if options.max_tags else found
 
 
