@@ -77,7 +77,7 @@ def forms(s: str, head: int, at: int, known: Callable[[str], bool], base_cost: f
             cost = 0.3 if sure else base_cost + risk + 0.6 * (row.kind == "GODAN_NA") + 1.5 * (mid > 0 and known(stem)) + 0.9 * (last == "み" and s.startswith("たい", place + 1))
             noun_and_suru = 0.8 if row.kind == "GODAN_SA" and several and not mid and not sure else 0.0
             if last == row.u and not NOT_AFTER_BASE.match(s, place + 1):
-                yield Candidate(place + 1, "VERB_終止", cost, lemma)
+                yield Candidate(place + 1, "VERB_終止", cost + noun_and_suru + 0.5 * (inner.endswith("し") and last == "く" and not sure), lemma)
             if last == row.a and after("a", place + 1):
                 yield Candidate(place + 1, "VERB_未然", cost + noun_and_suru, lemma)
             if last == row.i:
@@ -85,6 +85,8 @@ def forms(s: str, head: int, at: int, known: Callable[[str], bool], base_cost: f
                     yield Candidate(place + 1, "VERB_連用", cost + noun_and_suru, lemma)
                 elif mid < 2 and after("end", place + 1):
                     yield Candidate(place + 1, "VERB_連用", cost + 0.5 + noun_and_suru, lemma)
+                elif mid < 2 and s.startswith("もの", place + 1):
+                    yield Candidate(place + 1, "VERB_連用", cost + 0.2 + noun_and_suru, lemma)
                 elif several and row.kind != "GODAN_SA" and after("noun", place + 1):
                     yield Candidate(place + 1, "NOUN_転成", cost + 0.2, s[at : place + 1])
             if row.onbin and last == row.onbin and after("voiced" if row.voiced else "plain", place + 1):
@@ -121,9 +123,9 @@ def forms(s: str, head: int, at: int, known: Callable[[str], bool], base_cost: f
             yield Candidate(place + 1, "VERB_未然", cost, lemma)
 
 
-ADJECTIVE = re.compile(f"(?P<stem>[{K}]{{1,3}}(?:し|か|き|な|さ|る|た|ら|ろ|ど|やか|らか|ずかし|かし|もし|まし|わし|ましい)?)(?:(?P<base>い)(?!て|た|ま[すし])|(?P<ku>く)(?=な[いかけくるっりら]|て|する|し)|(?P<katt>かっ)(?=た)|(?P<ke>けれ)(?=ば)|(?=(?P<sou>そう|すぎ|過ぎ|がる|がっ|がり)))")
+ADJECTIVE = re.compile(f"(?P<stem>[{K}]{{1,3}}(?:し|か|き|な|さ|る|た|ら|ろ|ど|やか|らか|ずかし|かし|もし|まし|わし|ましい)?)(?:(?P<base>い)(?!て|た|だ|で|ま[すし])|(?P<ku>く)(?=な[いかけくるっりら]|て|する|し)|(?P<katt>かっ)(?=た)|(?P<ke>けれ)(?=ば)|(?=(?P<sou>そう|すぎ|過ぎ|がる|がっ|がり)))")
 KATAKANA_ADJECTIVE = re.compile(f"(?P<stem>[{T}]{{2,}})(?:(?P<base>い)|(?P<ku>く)(?=な[いかけくるっり]|て|$)|(?P<katt>かっ)(?=た)|(?P<ke>けれ)(?=ば)|(?=(?P<sou>そう|すぎ)))")
-HIRAGANA_ADJECTIVE = re.compile(f"(?P<stem>(?![をがはにのでとも])[{H}]{{1,3}}し)(?:(?P<base>い)(?!て|た|ま[すし])|(?P<ku>く)(?=な[いかけくるっり]|て)|(?P<katt>かっ)(?=た)|(?P<ke>けれ)(?=ば)|(?=(?P<sou>そう)))")
+HIRAGANA_ADJECTIVE = re.compile(f"(?P<stem>(?![をがはにのでとも])[{H}]{{1,3}}し)(?:(?P<base>い)(?!て|た|だ|で|ま[すし])|(?P<ku>く)(?=な[いかけくるっり]|て)|(?P<katt>かっ)(?=た)|(?P<ke>けれ)(?=ば)|(?=(?P<sou>そう)))")
 KATAKANA_VERB = re.compile(f"(?P<stem>[{T}]{{2,}})(?:(?P<u>る)|(?P<t>っ)(?=た|て|ちゃ)|(?P<a>ら)(?=な[いかけ]|れ|せ|ず)|(?P<i>り)(?=ま[すし]|た[いくか]|そう|すぎ)|(?P<e>れ)(?=ば)|(?P<o>ろ)(?=う))")
 # Kanji that begin an adjective in ない that isn't a verb's negation.
 NAI_STEMS = "少危切汚幼拙儚"

@@ -190,6 +190,7 @@ SURFACE_RULES = (
     SurfaceRule("NOUN NOUN_形式", "", "PART_接続", "し", RARE),
     SurfaceRule("AUX_断定", "で", "VERB_終止 VERB_連用 VERB_音便 VERB_未然", "ある あり あっ あろ", CERTAIN),
     SurfaceRule("AUX_断定", "で", "ADJ_終止 AUX_否定", "ない なかっ", MODERATE),
+    SurfaceRule("AUX_断定", "で", "NOUN NOUN_形式 NOUN_数 PRON PREFIX", "", -GOOD),
     SurfaceRule("PART_接続", "て で", "VERB_連用", "い", -GOOD),
     SurfaceRule("VERB_音便", "", "PART_接続", "たら だら", -MODERATE),
 )

@@ -43,5 +43,5 @@ def completed(m: Morpheme, after: Morpheme | None, known: Container[str]) -> Mor
     lemma = m.lemma
     if lemma == m.surface and not m.is_dictionary and m.extended_pos not in ("VERB_終止", "ADJ_終止", "ADJ_NA"):
         lemma = verified(m.surface, after.surface if after and after.pos in ("AUX", "PARTICLE") else "", known) or lemma
-    kind = "NA_ADJ" if m.extended_pos == "ADJ_NA" else conjugation.detect_type(lemma)
+    kind = "NA_ADJ" if m.extended_pos == "ADJ_NA" else "ICHIDAN" if lemma[-1:] == "る" and lemma[:-1] and lemma[:-1] in inflection.BARE_ICHIDAN else conjugation.detect_type(lemma)
     return replace(m, lemma=lemma, conj_type=kind, conj_form=conj_form(m.surface, lemma, m.extended_pos, after.surface if after else None))

@@ -44,7 +44,7 @@ LONGEST_OTHER, LONGEST_IDENTIFIER = 12, 24
 CASE_ENDS, SOFT_ENDS, NOUN_STARTS, NEVER_FIRST = "をが", "はにへのでともか", "はにへの", "ゃゅょぁぃぅぇぉっ"
 COUNTERS = "円銭万億兆分秒時日月年週期世個本人台枚杯回歳才階号番匹冊件丁通発点票頭羽着足軒組曲巻畳割部面問章棟戸席食泊口束両機基隻度倍段級位種色名話連敗勝戦間紀次"
 
-STEP, FALLBACK, BEYOND_DICTIONARY, USER_BONUS = 0.001, 5.0, 3.5, -2.0
+STEP, FALLBACK, BEYOND_DICTIONARY = 0.001, 5.0, 3.5
 CHUNK_BYTES = 32_768
 BREAKS = re.compile("[\n!?。！？]")
 PRETOKENS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pretokens.KINDS.items()))
@@ -76,7 +76,11 @@ class Entry:
 
 @dataclass(frozen=True)
 class Options:
-    """mode: normal, search (nouns compound) or split (no joining candidates)."""
+    """mode: normal, search (nouns compound) or split (no joining candidates).
+
+    connection: costs between parts of speech, or between categories, that replace those built in. letters_bonus: the cost
+    of letters joined with Japanese; user_bonus: what a user dictionary's word has on top of its category's cost.
+    """
 
     mode: str = "normal"
     preserve_vu: bool = True
@@ -84,6 +88,8 @@ class Options:
     remove_symbols: bool = True
     least_bytes: int = 1
     connection: dict[tuple[str, str], float] = field(default_factory=dict)
+    letters_bonus: float = -0.3
+    user_bonus: float = -2.0
     built_in: bool = True
     lemmatize: bool = True
     merge_compounds: bool = False
@@ -180,14 +186,15 @@ class Analyzer:
         for p in (*COARSE, "INTJ"):
             self.connections[("INTJ", p)] = self.connections[("OTHER", p if p != "INTJ" else "OTHER")]
             self.connections[(p, "INTJ")] = self.connections[(p if p != "INTJ" else "OTHER", "OTHER")]
-        self.links = categories.links() | options.connection
+        self.connections |= {k: v for k, v in options.connection.items() if k in self.connections and not {*k} - set(ORDER)}
+        self.links = categories.links() | {k: v for k, v in options.connection.items() if {*k} - set(ORDER)}
         self.rules = categories.surface_rules()
         #: Whether no entry can stand in a span of the closed form, so that spans that it covers needn't be searched.
         self.plain = options.preserve_case and all(NOT_CLOSED.search(w) for w in self.entries)
 
     def word_cost(self, e: Entry) -> float:
         contracted = 1.0 if e.extended_pos == "VERB_未然" and e.surface[-1] in "ぬん" and len(e.surface) > 1 else 0.0  # 書かぬ is 書か and ぬ
-        return categories.COST[e.extended_pos] + contracted + (USER_BONUS if e.user else 0.0)
+        return categories.COST[e.extended_pos] + contracted + (self.options.user_bonus if e.user else 0.0)
 
     def link(self, before: Edge | None, e: Edge) -> float:
         """What e costs after before, or at the start."""
@@ -251,7 +258,7 @@ class Analyzer:
             stop = end
             while stop < len(s) and kinds[stop] == kinds[end] and stop - end < 8:
                 stop += 1
-            return [Edge(at, stop, s[at:stop], "NOUN", -0.3)]
+            return [Edge(at, stop, s[at:stop], "NOUN", self.options.letters_bonus)]
         out = []
         if kind == "DIGIT" and kinds[end] == "KANJI":
             stop = end

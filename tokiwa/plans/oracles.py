@@ -77,14 +77,6 @@ ENTRIES = """entries(layer, entry_id, surface, pos, lemma) AS (VALUES
  (1,0,'the','DET','the'),(1,1,'of','PARTICLE','of'),(1,2,'and','CONJ','and'),(1,3,'que','CONJ','que'),(1,4,'der','DET','der'),(2,5,'thing','NOUN','thing'),
  (2,6,'tion','SUFFIX','tion'),(2,7,'over','ADV','over'),(2,8,'the','DET','the'),(3,9,'thethe','NOUN','thethe'),(3,10,'eau','NOUN','eau'),(3,11,'ción','SUFFIX','ción'),
  (3,12,'schen','NOUN','schen'),(3,13,'and','NOUN','and'),(3,14,'idiot','NOUN','idiot'),(3,15,'and','NOUN','and'))"""
-GODAN = """WITH verbs(surface, conj_type) AS (VALUES ('書く','GODAN_KA'),('泳ぐ','GODAN_GA'),('話す','GODAN_SA'),('待つ','GODAN_TA'),('死ぬ','GODAN_NA'),('飛ぶ','GODAN_BA'),('読む','GODAN_MA'),('帰る','GODAN_RA'),('買う','GODAN_WA')),
-rows(conj_type, u, a, i, e, o, t, voiced) AS (VALUES ('GODAN_KA','く','か','き','け','こ','い',false),('GODAN_GA','ぐ','が','ぎ','げ','ご','い',true),('GODAN_SA','す','さ','し','せ','そ','し',false),('GODAN_TA','つ','た','ち','て','と','っ',false),
- ('GODAN_NA','ぬ','な','に','ね','の','ん',true),('GODAN_BA','ぶ','ば','び','べ','ぼ','ん',true),('GODAN_MA','む','ま','み','め','も','ん',true),('GODAN_RA','る','ら','り','れ','ろ','っ',false),('GODAN_WA','う','わ','い','え','お','っ',false)),
-forms(form_name, step, more) AS (VALUES ('base','u',''),('negative','a','ない'),('polite','i','ます'),('past','t','た'),('te','t','て'),('conditional','e','ば'),('volitional','o','う'),('imperative','e',''),('passive','a','れる'),('causative','a','せる'),('potential','e','る'),('renyokei','i',''),('desire','i','たい'),('tara','t','たら'))
-SELECT v.surface, v.conj_type, f.form_name, left(v.surface, length(v.surface) - 1) || CASE f.step WHEN 'u' THEN u WHEN 'a' THEN a WHEN 'i' THEN i WHEN 'e' THEN e WHEN 'o' THEN o ELSE t END
-  || CASE WHEN voiced AND f.step = 't' THEN replace(replace(f.more, 'た', 'だ'), 'て', 'で') ELSE f.more END AS form
-FROM verbs v JOIN rows r ON v.conj_type = r.conj_type, forms f"""
-
 ORACLES = {
     "normalize_width": f"""SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS folded_md5,
  regexp_matches(text, '[A-Za-z0-9０-９Ａ-Ｚａ-ｚｦ-ﾟヴゔ]') AS needs FROM documents""",
@@ -116,8 +108,6 @@ marked AS (SELECT *, regexp_matches(surface, '^[A-Za-z0-9]') AS noun, regexp_mat
 islands AS (SELECT *, sum(CASE WHEN j AND prev THEN 0 ELSE 1 END) OVER (PARTITION BY doc_key ORDER BY token_index) AS island FROM (SELECT *, coalesce(lag(j) OVER (PARTITION BY doc_key ORDER BY token_index), false) AS prev FROM marked))
 SELECT doc_key, min(token_index)::INTEGER AS token_index, string_agg(surface, '' ORDER BY token_index) AS surface, 'NOUN' AS pos, string_agg(lower(surface), '' ORDER BY token_index) AS lemma, count(*)::INTEGER AS n_parts
 FROM islands WHERE noun GROUP BY doc_key, island""",
-    "with_without_dict_diff": "WITH RECURSIVE " + token_cte("benchmark", "item_id") + """, b AS (SELECT item_id, (i - 1)::INTEGER AS token_index, p[i] AS surface FROM (SELECT item_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT item_id, regexp_extract_all(text, '[a-z]+|[A-Z]+') AS p FROM benchmark)))
-SELECT item_id, token_index, surface, 'with' AS side FROM (SELECT * FROM tokens EXCEPT SELECT * FROM b) UNION ALL SELECT item_id, token_index, surface, 'without' FROM (SELECT * FROM b EXCEPT SELECT * FROM tokens)""",
     "dict_prefix_join": f"""WITH {ENTRIES}, spots AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS at FROM benchmark)
 SELECT e.surface, e.pos, e.layer, count(*) AS n, count(DISTINCT item_id) AS n_items FROM spots s, entries e WHERE substr(s.text, s.at, length(e.surface)) = e.surface GROUP BY e.surface, e.pos, e.layer, e.entry_id HAVING e.entry_id <> 15
 """,
@@ -126,8 +116,7 @@ SELECT e.surface, e.pos, e.layer, count(*) AS n, count(DISTINCT item_id) AS n_it
     "dict_wildcard": "SELECT p_name AS surface, 'NOUN' AS pos FROM part WHERE p_name LIKE '%a_e%'",
     "dict_lookup": TOKENS + f", {ENTRIES} SELECT * FROM entries WHERE surface IN (SELECT surface FROM tokens)",
     "dict_import": f"WITH {ENTRIES} SELECT * FROM entries UNION ALL SELECT * FROM (VALUES (4,101,'the','NOUN','the'),(4,102,'leaux','NOUN','leaux')) v",
-    "dict_trivial": TOKENS + ", seen AS (SELECT DISTINCT surface FROM tokens) SELECT length(surface) >= 3 AND (regexp_matches(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g'), '^[A-Za-z]+$') OR regexp_matches(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g'), '^[0-9]+$')) AS is_trivial, count(*) AS n FROM seen GROUP BY ALL",
-    "conjugate_godan": GODAN,
+    "dict_trivial": TOKENS + ", seen AS (SELECT DISTINCT surface FROM tokens) SELECT length(surface) >= 3 AND (regexp_matches(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g'), '^[A-Za-z]*$') OR regexp_matches(regexp_replace(surface, '[^A-Za-z0-9]', '', 'g'), '^[0-9]+$')) AS is_trivial, count(*) AS n FROM seen GROUP BY ALL",
 }
 ORACLES["search_rank"] = (
     TOKENS + ", " + POSTINGS + ", " + token_cte("benchmark", "item_id", "q_tokens")
@@ -135,6 +124,10 @@ ORACLES["search_rank"] = (
 scored AS (SELECT query_id, doc_id, count(*) AS score FROM asked JOIN postings USING (tag) GROUP BY ALL)
 SELECT query_id, doc_id, score, search_rank::INTEGER AS search_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS search_rank FROM scored) WHERE search_rank <= 10"""
 )
+ORACLES["all_morphemes"] = TOKENS + " SELECT doc_id, token_index, surface, 'NOUN' AS pos FROM tokens"
+KINDS = {"url": URL, "email": EMAIL, "storage": STORAGE, "percentage": PERCENTAGE, "number": NUMBER, "version": VERSION, "asciiseq": ASCIISEQ, "boundary": BOUNDARY}
+ORACLES["pretoken_types"] = f"""SELECT CASE {' '.join(f"WHEN regexp_full_match(hit, '{p}') THEN '{k}'" for k, p in KINDS.items())} END AS type, count(*) AS n
+FROM (SELECT unnest(regexp_extract_all({PREPARED}, '{ALL}')) AS hit FROM documents) GROUP BY ALL"""
 ORACLES["lattice_benchmark"] = "WITH RECURSIVE " + token_cte("benchmark", "item_id") + " SELECT item_id, token_index, surface FROM tokens"
 ORACLES["windowed_tokens"] = """SELECT time_bucket(INTERVAL 10 MINUTES, ts) AS window_start, time_bucket(INTERVAL 10 MINUTES, ts) + INTERVAL 10 MINUTES AS window_end, surface, count(*) AS n
 FROM (SELECT ts, unnest(regexp_extract_all(event_type, '[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*')) AS surface FROM events) GROUP BY ALL"""

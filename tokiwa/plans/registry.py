@@ -7,18 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokiwa.functions import names, pretokens, text
-from tokiwa.operators import analyze, conjugation, dictionary, index, lattice, rewrites, tokens
+from tokiwa.functions import pretokens, text
+from tokiwa.operators import analyze, dictionary, index, rewrites, tokens
+from tokiwa.plans import japanese, japanese_oracles
 from tokiwa.plans.oracles import ORACLES
-from tokiwa.sources import writers
 from tokiwa.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Rows that the kana, dictionary and conjugation queries are tried on.
-KANA_SAMPLES = ("ｶﾞｷﾞｸﾞ ﾊﾟﾋﾟﾌﾟ", "ｳﾞｧｲｵﾘﾝ", "ヴァイオリンとヴェール", "ＡＢＣ１２３ｘｙｚ", "ﾜﾞ ﾜｰﾙﾄﾞ", "ゔぁいおりん ゔ", "ｱﾞ ﾟ ﾞ", "カﾞキﾞハﾟ", "ヴ ヴヮ", "plain text")
-VERB_SAMPLES = ("書く", "泳ぐ", "話す", "待つ", "死ぬ", "飛ぶ", "読む", "帰る", "買う", "食べる", "勉強する", "高い", "来る", "みる", "する")
+# Rows that the dictionary queries are tried on.
 DICTIONARY_ROWS = (
     (1, "the", "DET"), (1, "of", "PARTICLE"), (1, "and", "CONJ"), (1, "que", "CONJ"), (1, "der", "DET"), (2, "thing", "NOUN"), (2, "tion", "SUFFIX"), (2, "over", "ADV"),
     (2, "the", "DET"), (3, "thethe", "NOUN"), (3, "eau", "NOUN"), (3, "ción", "SUFFIX"), (3, "schen", "NOUN"), (3, "and", "NOUN"), (3, "idiot", "NOUN"), (3, "and", "NOUN"),
@@ -54,12 +52,6 @@ def normalize_width(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.md5(text.normalize(F.col("text"), preserve_case=False)).alias("folded_md5"), text.needs_normalization(F.col("text")).alias("needs"))
 
 
-@query
-def normalize_kana(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(KANA_SAMPLES)), "sample_id int, text string")
-    return rows.select("sample_id", text.normalize(F.col("text")).alias("normal"), text.normalize(F.col("text"), preserve_vu=False).alias("without_vu"))
-
-
 @query
 def char_type_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many characters of each class each document has."""
@@ -103,15 +95,6 @@ for _kind, _source, _column, _key in (("url", "pages", "html", "page_id"), ("ema
     _kind_rows(_kind, _source, _column, _key)
 
 
-@query
-def pretoken_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates, times, amounts and the rest of the sequential extractor on fixed samples (a golden check, not an oracle)."""
-    samples = ["2024年12月23日に送付", "12345年", "14時30分45秒 25時", "税込1,234円 3億円", "約5GB使用 5banana", "進捗50% ３０％", "住所1-2-3です", "v2.0.1とv3", "a@b.co. x@y.jp", "#タグ と @user_1 @a.b", "example.com/x 3.14", "すごい！本当？"]
-    rows = spark.createDataFrame(list(enumerate(samples)), "sample_id int, text string")
-    found = rows.select("sample_id", F.posexplode(pretokens.pretokens(F.col("text"))).alias("place", "p"))
-    return found.select("sample_id", "place", "p.kind", "p.surface", "p.start", "p.end", "p.type")
-
-
 @query
 def pretoken_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens and spans tile each text: their lengths add up to it, and they are in order."""
@@ -207,26 +190,6 @@ def compound_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.visible(rewrites.compounds(morpheme_rows(spark, sf_dir), "doc_key"))
 
 
-@query
-def prefix_verb_to_noun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0, "お", "PREFIX", "お"), ("a", 1, "願い", "VERB", "願う"), ("a", 2, "し", "VERB", "する"), ("b", 0, "本", "NOUN", "本"), ("b", 1, "読む", "VERB", "読む"), ("c", 0, "ご", "PREFIX", "ご"), ("c", 1, "覧", "VERB", "覧る")]
-    return rewrites.prefixed_verbs(spark.createDataFrame(rows, "doc_id string, token_index int, surface string, pos string, lemma string"))
-
-
-@query
-def prolonged_sound_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0, "すご", "ADJ", "すご"), ("a", 1, "ー", "NOUN", "ー"), ("a", 2, "ーー", "NOUN", "ー"), ("a", 3, "い", "AUX", ""), ("b", 0, "。", "SYMBOL", "。"), ("b", 1, "ー", "NOUN", "ー"), ("c", 0, "ー", "NOUN", "ー")]
-    return rewrites.prolonged(spark.createDataFrame(rows, "doc_id string, token_index int, surface string, pos string, lemma string"))
-
-
-@query
-def with_without_dict_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens that only one of two analyses of the benchmark texts has: tokens parted at dots, or not."""
-    whole = tokens.token_rows(table(spark, sf_dir, "benchmark"), key="item_id")
-    parted = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-z]+|[A-Z]+"), 0)).alias("token_index", "surface"))
-    return rewrites.renamed(whole, parted, "item_id")
-
-
 # dictionaries and conjugation
 
 
@@ -274,62 +237,13 @@ def dict_trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy(dictionary.trivial(F.col("surface")).alias("is_trivial")).agg(F.count("*").alias("n"))
 
 
-@query
-def dict_compile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A dictionary compiled from plain and conjugating rows."""
-    rows = [(0, "書く", "VERB", "GODAN_KA"), (1, "高い", "ADJ", "I_ADJ"), (2, "本", "NOUN", ""), (3, "書き", "NOUN", ""), (4, "書か", "VERB", None), (5, "食べる", "VERB", "ICHIDAN")]
-    return dictionary.compiled(spark.createDataFrame(rows, "line int, surface string, pos string, conj_type string"))
-
-
-def verbs(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(v,) for v in VERB_SAMPLES], "surface string")
-    return rows.withColumn("conj_type", conjugation.detect_type(F.col("surface")))
-
-
-@query
-def conjugate_godan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conjugation.conjugated(verbs(spark).where(F.col("conj_type").startswith("GODAN"))).select("surface", "conj_type", "form_name", "form")
-
-
-@query
-def conjugate_other(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conjugation.conjugated(verbs(spark).where(~F.col("conj_type").startswith("GODAN"))).select("surface", "conj_type", "form_name", "form")
-
-
-@query
-def detect_verb_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return verbs(spark).select("surface", "conj_type", conjugation.stem(F.col("surface"), F.col("conj_type")).alias("stem"))
-
-
-@query
-def pos_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n,) for k, v in names.POS.items() for n in (k, *v)] + [("nonsense",)], "name string")
-    found = rows.withColumn("pos", names.parse_pos(F.col("name")))
-    return found.select("name", "pos", names.pos_ja(F.col("pos")).alias("pos_ja"), names.is_content(F.col("pos")).alias("is_content"), names.is_function(F.col("pos")).alias("is_function"))
-
-
 # the analyzer: every row has a place in the closed form or the lattice
 
-# Japanese samples, and the words that the samples' dictionary knows.
-JAPANESE_SAMPLES = ("私は東京の学生です。", "API開発を3時間", "図書館で本を読む", "新宿駅の近く", "カフェでコーヒーーを飲む", "3億5000万円", "数ヶ月", "２０２４年12月23日")
-JAPANESE_WORDS = (("は", "PARTICLE"), ("が", "PARTICLE"), ("を", "PARTICLE"), ("の", "PARTICLE"), ("で", "PARTICLE"), ("に", "PARTICLE"), ("私", "PRON"), ("です", "AUX"), ("読む", "VERB"), ("飲む", "VERB"), ("近く", "NOUN"), ("ヶ月", "SUFFIX"), ("数", "NOUN"))
-
-
-def japanese(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(JAPANESE_SAMPLES)), "doc_id int, text string")
-
-
-def analyzed(spark: SparkSession, **options) -> DataFrame:
-    words = [lattice.Entry(s, p) for s, p in JAPANESE_WORDS]
-    run = analyze.analyzer(words, lattice.Options(**options))
-    return japanese(spark).select("doc_id", "text", run("text").alias("morphemes"))
-
-
 @query
 def lattice_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lattice over the benchmark texts; where the closed form holds it must agree with it."""
+    """The lattice over the benchmark texts; its SQL is that of the closed form."""
     run = analyze.analyzer()
-    rows = table(spark, sf_dir, "benchmark").where(tokens.closed_form(F.col("text"))).select("item_id", F.posexplode(run("text")).alias("token_index", "m"))
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(run("text")).alias("token_index", "m"))
     return rows.select("item_id", "token_index", "m.surface")
 
 
@@ -339,47 +253,6 @@ def all_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analyze.morphemes(documents(spark, sf_dir))
 
 
-@query
-def lattice_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Golden check of the lattice with a small dictionary."""
-    return analyzed(spark).select("doc_id", F.posexplode("morphemes").alias("token_index", "m")).select("doc_id", "token_index", "m.surface", "m.pos", "m.start", "m.end", "m.is_dictionary")
-
-
-@query
-def lattice_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three modes side by side."""
-    out = None
-    for mode in ("normal", "search", "split"):
-        rows = analyzed(spark, mode=mode).select(F.lit(mode).alias("mode"), "doc_id", F.posexplode("morphemes").alias("token_index", "m")).select("mode", "doc_id", "token_index", "m.surface", "m.pos")
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query
-def lattice_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All candidates of the samples."""
-    run = analyze.explained([lattice.Entry(s, p) for s, p in JAPANESE_WORDS])
-    return japanese(spark).select("doc_id", F.inline(run("text")))
-
-
-@query
-def japanese_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analyzed(spark).select("doc_id", F.posexplode(analyze.tagged(F.col("morphemes"), tokens.TagOptions(exclude_basic=True, pos_filter=3))).alias("place", "t"))
-    return found.select("doc_id", "place", "t.tag", "t.pos")
-
-
-@query
-def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text form of the samples' morphemes."""
-    rows = analyzed(spark)
-    forms = {"text": writers.as_text(rows), "tsv": writers.as_tsv(rows), "json": writers.as_json(rows), "chasen": writers.as_chasen(rows), "tags": writers.as_tags(rows.withColumn("tags", analyze.tagged(F.col("morphemes"))))}
-    out = None
-    for name, form in forms.items():
-        form = form.select(F.lit(name).alias("form"), "value")
-        out = form if out is None else out.unionByName(form)
-    return out
-
-
 @query
 def windowed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types counted as tokens by ten-minute windows, the batch form of the streaming query."""
@@ -391,8 +264,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | japanese.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | japanese_oracles.ORACLES

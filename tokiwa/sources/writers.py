@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.functions.names import pos_ja
+from tokiwa.functions.names import form_name, pos_ja, type_name
 
 END = "EOS"
 
@@ -38,7 +38,10 @@ def as_json(df: DataFrame, text: str = "text", morphemes: str = "morphemes") ->
 def as_chasen(df: DataFrame, morphemes: str = "morphemes") -> DataFrame:
     """surface, no reading (*), lemma, Japanese part of speech, conjugation type and form (or *); EOS after each document."""
     star = lambda m: F.lit("*")
-    lines = _lines(morphemes, [lambda m: m["surface"], star, lambda m: m["lemma"], lambda m: pos_ja(m["pos"]), star, star])
+    filled = lambda c: F.when(F.length(c) > 0, c).otherwise("*")
+    kind = lambda m: filled(type_name(m["conj_type"], japanese=True))
+    form = lambda m: F.when(m["conj_form"].isNull(), "*").otherwise(form_name(m["conj_form"], japanese=True))
+    lines = _lines(morphemes, [lambda m: m["surface"], star, lambda m: m["lemma"], lambda m: pos_ja(m["pos"]), kind, form])
     return df.select(F.explode(F.concat(lines, F.array(F.lit(END)))).alias("value"))
 
 
