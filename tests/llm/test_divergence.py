@@ -58,7 +58,8 @@ def brute(rows, limits=divergence.Limits()):
             p, q = [own[w] / n for w in names], [shares[lang][w] / words[lang] for w in names]
             word_d = js([*p, 1 - sum(p)], [*q, 1 - sum(q)])
         failed = n < 50 or 100 * repeated > 50 * n
-        kept = not failed and (len(text) < limits.least_chars or round(char_d, 9) <= limits.most_char_distance) and (n < limits.least_judged_words or round(word_d, 9) <= limits.most_word_distance)
+        noise = limits.word_noise * max(0.0, n**-0.5 - limits.least_judged_words**-0.5) if n else 0.0
+        kept = not failed and (len(text) < limits.least_chars or round(char_d, 9) <= limits.most_char_distance) and round(word_d, 9) <= limits.most_word_distance + noise
         out[key] = (n, word_chars, symbols, lines, repeated, failed, kept, char_d, word_d)
     return out
 

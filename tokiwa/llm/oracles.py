@@ -91,7 +91,7 @@ joined AS (SELECT h.doc_id, h.n, h.n_symbols, coalesce(o.n_words, 0) AS n_words,
   LEFT JOIN own w ON h.doc_id = w.doc_id LEFT JOIN ref_all a ON h.lang IS NOT DISTINCT FROM a.lang),
 judged AS (SELECT *, CASE WHEN n_words > 0 THEN sqrt(greatest((tt + aq - q + {TERM.format(p="(1 - p)", q="(1 - aq)")}) / 2, 0)) END AS wd, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM joined)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, failed AS base_failed,
-  NOT failed AND (n < 200 OR round(cd, 9) <= 0.25) AND (n_words < 120 OR round(wd, 9) <= 0.28) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
+  NOT failed AND (n < 200 OR round(cd, 9) <= 0.25) AND round(wd, 9) <= 0.28 + 1.2 * greatest(1 / sqrt(n_words) - 1 / sqrt(120), 0) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance FROM judged
 """
 
 ORACLES = {"op5_divergence": OP5, "op7_secrets": OP7, "op9_mixing": OP9}
