@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,22 +84,27 @@ def hits(text: Column) -> Column:
     return F.flatten(F.transform(stretches(text), lambda s: F.when(s.rlike(TELLING), F.regexp_extract_all(s, F.lit(PATTERN), 0)).otherwise(F.expr(STRING_ARRAY))))
 
 
-def running(lengths: Column) -> Column:
-    """Where each of some lengths begins if they stand one after the other.
+def scanned(values: Column, zero: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """For each of some numbers, what all before it come to by an associative operation whose neutral element is zero.
 
     Higher-order functions have no running sum, and an array that grows by one is copied each time. So sums run inside
     blocks of about the square root of all and over the blocks: n times its root steps, not its square.
     """
-    step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
-    scan = lambda xs: F.aggregate(xs, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)
+    step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    scan = lambda xs: F.aggregate(xs, F.struct(zero.alias("at"), F.expr("cast(array() as array<int>)").alias("out")), step)
 
     def blocked(xs: Column) -> Column:
         size = F.greatest(F.ceil(F.sqrt(F.size(xs))).cast("int"), F.lit(1))
         blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(xs) / size).cast("int") - 1, F.lit(0))), lambda k: scan(F.slice(xs, k * size + 1, size)))
-        shifted = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["at"]))["out"], lambda b, at: F.transform(b["out"], lambda x: x + at)))
+        shifted = lambda bs: F.flatten(F.zip_with(bs, scan(F.transform(bs, lambda b: b["at"]))["out"], lambda b, at: F.transform(b["out"], lambda x: combine(at, x))))
         return F.transform(F.array(blocks), shifted)[0]
 
-    return F.transform(F.array(lengths), blocked)[0]
+    return F.transform(F.array(values), blocked)[0]
+
+
+def running(lengths: Column) -> Column:
+    """Where each of some lengths begins if they stand one after the other."""
+    return scanned(lengths, F.lit(0), lambda a, b: a + b)
 
 
 def parted(text: Column) -> Column:
