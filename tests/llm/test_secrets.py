@@ -93,3 +93,37 @@ def test_odd_rows(odd, none):
     rows = secrets.scan(odd).collect()
     assert len(rows) == odd.count() and all(r["spans"] == [] for r in rows if not r["text"])
     assert secrets.scan(none).collect() == []
+
+
+LONG = {
+    "candidate": " ".join(["x", "zX9kQ2mW7pL4vN8rT3sB6" * 800, "y"]), "candidates": " ".join(f"zX9kQ2mW7pL4vN8rT3sB{i}" for i in range(1500)), "assignments": " ".join(f"token=abc{i}def" for i in range(1500)),
+    "mixed": " ".join(f"password: q8Zk2Lm9Xc4Vb7Np1Wt{i} and q8Zk2Lm9Xc4Vb7Np1Wt{i}/more é🎉" for i in range(500)),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_texts(spark, name):
+    """One long candidate, many candidates, many spans: as brute force, and what is cut out too."""
+    text = LONG[name]
+    row = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(secrets.listed(F.col("spans")).alias("s"), secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).first()
+    at, out = 0, ""
+    for a, _, b, _ in all_spans(text):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    assert row["s"] == written(all_spans(text)) and row["clean"] == out + text[at:]
+
+
+def test_time_grows_with_the_length(spark):
+    """Ten times as many spans and candidates take not over twelve times as long, but for what any run takes."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"token=abc{i}def zX9kQ2mW7pL4vN8rT3sB{i}" for i in range(n))
+        df = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("spans"), F.length(secrets.redacted(F.col("text"), F.col("spans"))))
+        df.collect()
+        began = time.time()
+        df.collect()
+        return time.time() - began
+
+    assert seconds(10_000) < 12 * seconds(1_000) + 2

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokiwa.functions.pretokens import running, scanned
+
 SPAN = "struct<start:int,rank:int,end:int,kind:string,value:string>"
 EMPTY = f"cast(array() as array<{SPAN}>)"
 
@@ -74,22 +76,35 @@ def found(text: Column, kind: Kind, rank: int) -> Column:
         F.regexp_extract_all(text, F.lit(kind.pattern), kind.group).alias("value"),
     )
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind.name).alias("kind"), x["hit"].alias("value"))
-        return F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(end.alias("at"), F.when(F.length(x["value"]) >= kind.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
-        )
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.when(F.length(x["value"]) >= kind.least, F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(x["hit"])).alias("end"), F.lit(kind.name).alias("kind"), x["hit"].alias("value")))
 
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.expr(EMPTY).alias("out")), step)["out"]
+    lengths = lambda xs: F.transform(xs, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["hit"]), F.lit(0)))
+    spans = F.transform(F.array(zipped), lambda xs: F.filter(F.zip_with(xs, running(lengths(xs)), span), lambda s: s.isNotNull()))[0]
     return F.when(text.rlike(kind.pattern), spans).otherwise(F.expr(EMPTY))
 
 
+def apart(candidates: Column, spans: Column) -> Column:
+    """The candidates that overlap none of the spans: one pass over both in order, keeping how far the spans have reached."""
+
+    def judged(both: Column) -> Column:
+        ends = F.transform(both["c"], lambda c, i: F.struct(c["end"].alias("at"), F.lit(0).alias("span"), i.alias("i"), F.lit(0).alias("end")))
+        begins = F.transform(both["s"], lambda s: F.struct(s["start"].alias("at"), F.lit(1).alias("span"), F.lit(0).alias("i"), s["end"].alias("end")))
+        marks = F.array_sort(F.concat(ends, begins))  # what begins where a candidate ends comes after it
+        reached = F.transform(F.array(marks), lambda ms: F.zip_with(ms, scanned(F.transform(ms, lambda m: m["end"]), F.lit(0), F.greatest), lambda m, r: F.when(m["span"] == 0, F.struct(m["i"].alias("i"), r.alias("r")))))[0]
+        by_place = F.array_sort(F.filter(reached, lambda x: x.isNotNull()))
+        return F.filter(F.zip_with(both["c"], by_place, lambda c, x: F.when(x["r"] <= c["start"], c)), lambda c: c.isNotNull())
+
+    found = F.transform(F.array(F.struct(candidates.alias("c"), spans.alias("s"))), judged)[0]
+    return F.when((F.size(candidates) == 0) | (F.size(spans) == 0), candidates).otherwise(found)
+
+
 def window_entropy(value: Column, window: int) -> Column:
     """The most bits a character of any window of that many characters of value (ASCII), from incremental counts.
 
     One character enters and one leaves at each step; the counts and the sum of n log2 n change for these two alone.
+    Counts are kept for the characters that value has.
     """
     weigh = lambda n: F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
@@ -109,9 +124,13 @@ def window_entropy(value: Column, window: int) -> Column:
             F.when(size == window, F.greatest(acc["most"], bits)).otherwise(acc["most"]).alias("most"),
         )
 
-    codes = F.transform(F.sequence(F.lit(1), F.length(value)), lambda i: F.ascii(F.substr(value, i, F.lit(1))))
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0).alias("size"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
-    return F.transform(F.array(codes), lambda c: F.aggregate(events(c), start, step)["most"])[0]
+    def most(chars: Column) -> Column:
+        distinct = F.array_distinct(chars)
+        codes = F.transform(F.array(distinct), lambda d: F.transform(chars, lambda c: (F.array_position(d, c) - 1).cast("int")))[0]
+        start = F.struct(F.array_repeat(F.lit(0), F.size(distinct)).alias("counts"), F.lit(0).alias("size"), F.lit(0.0).alias("total"), F.lit(0.0).alias("most"))
+        return F.transform(F.array(codes), lambda c: F.aggregate(events(c), start, step)["most"])[0]
+
+    return F.transform(F.array(F.split(value, "")), most)[0]
 
 
 def suspicious(value: Column, entropy: Entropy) -> Column:
@@ -133,14 +152,14 @@ def scan(docs: DataFrame, entropy: Entropy = Entropy()) -> DataFrame:
     Both are arrays of struct(start, rank, end, kind, value) in order of start, then of kinds as listed in KINDS and
     `entropy` last; offsets are code points, end exclusive. base_spans: the matches of KINDS. spans: these and the
     candidates of high windowed entropy that are not on the allow list and overlap no base span. A null or empty text
-    has none. Columns of docs that clash with the two names are replaced; repeated rows and null keys pass through.
+    has none; an empty table gives an empty result. Columns of docs that clash with the two names are replaced; repeated
+    rows and null keys pass through. The work grows with a text's length, not with its square, so very long texts do too.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.drop("base_spans", "spans", "_candidates")
     base = docs.withColumn("base_spans", F.array_sort(F.concat(*[found(text, k, i) for i, k in enumerate(KINDS)])))
     base = base.withColumn("_candidates", found(text, Kind("entropy", entropy.candidate, 0, entropy.least), len(KINDS)))
-    apart = lambda c: ~F.exists("base_spans", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    more = F.filter("_candidates", lambda c: F.when(apart(c), suspicious(c["value"], entropy)).otherwise(False))
+    more = F.filter(apart(F.col("_candidates"), F.col("base_spans")), lambda c: suspicious(c["value"], entropy))
     return base.withColumn("spans", F.when(F.size("_candidates") == 0, F.col("base_spans")).otherwise(F.array_sort(F.concat("base_spans", more)))).drop("_candidates")
 
 
@@ -152,9 +171,12 @@ def listed(spans: Column) -> Column:
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with each maximal run of overlapping spans replaced by mark."""
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when((s["start"] >= acc["at"]), apart).otherwise(acc["out"]).alias("out"))
+    def joined(x: Column) -> Column:
+        reached = scanned(F.transform(x["spans"], lambda s: s["end"]), F.lit(0), F.greatest)
+        kept = F.filter(F.zip_with(x["spans"], reached, lambda s, at: F.when(s["start"] >= at, F.struct(at.alias("at"), s["start"].alias("start")))), lambda s: s.isNotNull())
+        cut = lambda at, n: F.array_join(F.slice(x["chars"], at + 1, n), "")  # noqa: E731  # a substring would be sought from the text's start
+        last = F.array_max(F.transform(x["spans"], lambda s: s["end"]))
+        return F.concat(F.array_join(F.transform(kept, lambda k: F.concat(cut(k["at"], k["start"] - k["at"]), F.lit(mark))), ""), cut(last, F.size(x["chars"]) - last))
 
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.length(text))))
+    done = F.transform(F.array(F.struct(F.split(text, "").alias("chars"), spans.alias("spans"))), joined)[0]
     return F.when(F.size(spans) == 0, text).otherwise(done)
