@@ -20,10 +20,10 @@ def inverse(u, rate):
     return n
 
 
-def copies(doc_id, rate, seed="mix"):
+def copies(doc_id, text, rate, seed="mix"):
     parts = max(1, math.ceil(rate / mixing.MOST_MEAN))
-    name = "null" if doc_id is None else doc_id
-    draw = lambda j: int(hashlib.md5(f"{seed}|{name}|{j}".encode()).hexdigest()[:13], 16) / 2**52
+    name, digest = "null" if doc_id is None else doc_id, hashlib.md5((text or "").encode()).hexdigest()
+    draw = lambda j: int(hashlib.md5(f"{seed}|{name}|{digest}|{j}".encode()).hexdigest()[:13], 16) / 2**52
     return sum(inverse(draw(j), rate / parts) for j in range(1, parts + 1))
 
 
@@ -43,8 +43,8 @@ def test_rates_and_copies(spark, weights):
     total, w = sum(size.values()), {s: 1.0 for s in size} if weights is None else weights
     rate = {s: w.get(s, 0.0) / sum(w.values()) * total / size[s] for s in size}
     found = Counter(r["doc_id"] for r in mixing.mix(df, weights).collect())
-    for i, _, s in rows:
-        assert found[i] == copies(i, rate[s]), (i, s)
+    for i, t, s in rows:
+        assert found[i] == copies(i, t, rate[s]), (i, s)
     for s, share in w.items():
         got = sum(found[i] * len(t) for i, t, o in rows if o == s)
         assert got == pytest.approx(share / sum(w.values()) * total, rel=0.25)
@@ -58,10 +58,33 @@ def test_order_is_shuffled_and_stable(spark, sf):
     assert sum(x < y for x, y in zip(ids, ids[1:], strict=False)) == pytest.approx(len(ids) / 2, rel=0.3)
 
 
+def test_rows_without_ids_draw_apart(spark):
+    """A third of the rows has no doc_id; their texts differ, so they don't vanish or repeat together."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i:05d}", "a" if i % 2 else "b") for i in range(900)]
+    found = Counter((r["doc_id"], r["text"]) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert found == +Counter({(i, t): copies(i, t, 1.0) for i, t, _ in rows})
+    for key in (None, 7):
+        of = [found[i, t] for i, t, _ in rows if i == key]
+        assert len(set(of)) > 2 and 0.8 * len(of) < sum(of) < 1.2 * len(of)
+
+
 def test_odd_rows(odd, none):
+    rate = {}
+    size = Counter()
+    given = odd.collect()
+    for r in given:
+        size[r["source"]] += len(r["text"] or "")
+    for s, n in size.items():
+        rate[s] = 3.0 * sum(size.values()) / len(size) / n if n else 0.0
     out = mixing.mix(odd, epochs=3.0)
     rows = out.collect()
     assert [c for c in out.columns if c not in ("copy", "shuffle_key")] == [c for c in odd.columns if c != "copy"]
+    expected = Counter()
+    for r in given:
+        expected[r["doc_id"], r["text"]] += copies(r["doc_id"], r["text"], rate[r["source"]])
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == +expected
     fives = Counter(r["copy"] for r in rows if r["doc_id"] == 5)
     assert all(n == 3 for n in fives.values())
     assert mixing.mix(none).collect() == []
+    clash = mixing.mix(odd.withColumnRenamed("copy", "Copy"))
+    assert [c.lower() for c in clash.columns].count("copy") == 1

@@ -44,24 +44,25 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     """Replicate every row of docs so that sources come to their target weights, in a globally shuffled order.
 
     weights: source to weight (others 0); None: all sources alike. The number of copies of a row is the inverse of the
-    Poisson distribution of its source's rate at a uniform number hashed from seed and doc_id, so a rerun, or a lost
-    executor, draws the same. Returns the columns of docs (clashing names `copy`, `shuffle_key` are replaced), copy (from
-    1) and shuffle_key; rows are dealt out by shuffle_key and sorted by it within partitions. A null source is a source
-    of its own; a null doc_id hashes as the word null; repeated rows get as many copies each; a null or empty text adds
-    nothing to its source's size but is replicated like the rest. No source's rows are ever gathered: a hot source meets
+    Poisson distribution of its source's rate at a uniform number hashed from seed, doc_id and text, so a rerun, or a lost
+    executor, draws the same, and rows that share a doc_id, or have none, draw apart. Returns the columns of docs (names
+    that clash with `copy` or `shuffle_key` in whatever case are replaced), copy (from 1) and shuffle_key; rows are dealt
+    out by shuffle_key and sorted by it within partitions. A null source is a source of its own; a null doc_id hashes as
+    the word null; rows equal in doc_id and text get as many copies each; a null or empty text adds nothing to its source's
+    size but is replicated like the rest; an empty table gives an empty result. No source's rows are ever gathered: a hot source meets
     its rate in a join whose other side has a row per source (broadcast only while Spark finds it small, else a
     sort-merge join with skewed partitions split).
     """
-    kept = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    kept = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
     rates = source_rates(docs, weights, epochs).withColumnRenamed("source", "_source")
-    rows = docs.select(F.struct(*kept).alias("row"))  # so that no column of docs clashes with those made here
-    doc_id = F.col("row.doc_id")
-    drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("u", uniform(seed, doc_id, F.lit(1)))
+    rows = docs.select(F.struct(*kept).alias("row"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))  # so that no column of docs clashes with those made here
+    doc_id, digest = F.col("row.doc_id"), F.col("digest")
+    drawn = rows.join(rates, F.col("row.source").eqNullSafe(F.col("_source"))).withColumn("u", uniform(seed, doc_id, digest, F.lit(1)))
     single = F.size(F.filter("cdf", lambda c: c <= F.col("u")))
-    more = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(seed, doc_id, j)))
+    more = lambda j: F.size(F.filter("cdf", lambda c: c <= uniform(seed, doc_id, digest, j)))
     several = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, j: n + more(j))
     counted = drawn.withColumn("n", F.when(F.col("parts") == 1, single).otherwise(several)).where("n > 0")
-    copies = counted.select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), F.col("copy").cast("string"), F.lit("order")))
+    copies = counted.select("row", "digest", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null")), digest, F.col("copy").cast("string"), F.lit("order")))
     dealt = copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "row.doc_id", "copy")
     return dealt.select("row.*", "copy", "shuffle_key")

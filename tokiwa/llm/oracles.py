@@ -14,13 +14,13 @@ WITH RECURSIVE sizes AS (
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) FROM cdf WHERE k < ceil(rate + 12 * sqrt(rate)) + 20
 ), drawn AS (
-  SELECT d.doc_id, d.source, ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
+  SELECT d.doc_id, d.source, ('0x' || substr(md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || md5(coalesce(d.text, '')) || '|1'), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 AS u
   FROM documents d
 ), numbered AS (
   SELECT w.doc_id, count(*) AS n FROM drawn w JOIN cdf c ON w.source IS NOT DISTINCT FROM c.source AND c.c <= w.u GROUP BY w.doc_id
 )
 SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, g.copy::INTEGER AS copy,
-       md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || g.copy || '|order') AS shuffle_key
+       md5('mix|' || coalesce(d.doc_id::VARCHAR, 'null') || '|' || md5(coalesce(d.text, '')) || '|' || g.copy || '|order') AS shuffle_key
 FROM documents d JOIN numbered n ON d.doc_id = n.doc_id, LATERAL (SELECT unnest(range(1, n.n + 1)) AS copy) g
 """
 
