@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 
 from tokiwa.llm.common import cut, slices
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
+PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())])
 #: Words whose ids a worker remembers; having met that many it keeps them until it has met as many others.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Words that the tokenizer is asked at a time, and how its ids mark a word's end.
 JOINED, WORD_END = 500, "</w>"
 #: Bytes of texts that are taken apart at once.
-AT_ONCE = 16 << 20
+AT_ONCE = 8 << 20
 
 
 class WordIds:
@@ -106,10 +106,10 @@ class WordIds:
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
-    """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32."""
+    """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32, and nth, their number within the task."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_ids, end, size = WordIds(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity
+        word_ids, end, size, nth = WordIds(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity, 0
         for batch in batches:
             for part in slices(batch, 1, AT_ONCE):
                 ids, ends = word_ids(part.column(1))
@@ -118,7 +118,8 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
                     own = data[4 * begin : 4 * stop] + end
                     for at in range(0, len(own), size):
                         piece = own[at : at + size]
-                        rows.append((doc_id, at // size, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                        rows.append((doc_id, at // size, at // 4, len(piece) // 4, zlib.crc32(piece), nth))
+                        nth += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), PIECES_ARROW, strict=True)], schema=PIECES_ARROW)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut_up, PIECES)
@@ -208,16 +209,17 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     end id alone; only texts longer than `capacity` are cut; a null doc_id stays null; repeated rows are packed as often
     as they come, and which of several like pieces goes where is decided by rank in a hash bucket, then doc_id and piece.
     An empty table gives an empty result. Pieces of one length, however many, are ranked in buckets of about
-    `rows_per_salt` rows.
+    `rows_per_salt` rows; rows that share a doc_id, or have none, or are copies of one another, are in different buckets,
+    as their places within the tokenising tasks are hashed too (the pieces are written once, so these hold).
     """
     spark = docs.sparkSession
     pieces = cut(tokenised(docs, tokenizer_path, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     salts = max(16, -(-sum(counts.values()) // rows_per_salt))
-    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", "nth"), F.lit(salts)))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     base = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
+    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32", "nth")
     ranked = pieces.withColumn("own", F.row_number().over(own) - 1).join(base, ["length", "salt"]).withColumn("rank", F.col("base") + F.col("own"))
     plan = spark.createDataFrame(plan_bins(counts, capacity), "length long, lo long, hi long, copies long, sequence long, at long")
     placed = ranked.alias("p").join(F.broadcast(plan).alias("b"), (F.col("p.length") == F.col("b.length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
