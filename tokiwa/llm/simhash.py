@@ -39,14 +39,15 @@ def fingerprint(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp the fingerprint as a signed long."""
+    """(doc_id, fp, text_hash): fp the fingerprint as a signed long; text_hash tells rows of one doc_id apart."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(hashed, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    return rows.mapInArrow(hashed, "doc_id long, fp long, text_hash long")
 
 
 def links(fps: DataFrame, hot: int = 32) -> DataFrame:
@@ -55,9 +56,9 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     One half of two such fingerprints differs in at most one bit. So for each half a fingerprint emits the half itself and
     its 32 neighbours at half the radius; a half meets the neighbours of another in a join on the half, and the whole
     fingerprints that collide are verified. Where over `hot` fingerprints share a half, their other halves decide: there
-    the one side emits its other half's ball of radius 1, the other side the ball of what remains of the radius. Whoever
-    meets is within the radius by construction, and each links to the least fingerprint that it met, so that a group of n
-    gives n edges, not n * n. Either way no link is lost: two linked fingerprints get an edge, or both an edge to a third.
+    the one side emits its other half's ball of radius 1, the other side the ball of what remains of the radius, and each
+    links to the least fingerprint that it met, which is verified as well, so that a group of n gives n edges, not n * n.
+    Either way no link is lost: two linked fingerprints get an edge, or both an edge to a third.
     Spark's size estimates don't see how far `explode` multiplies rows, so every join here is told to sort and merge.
     """
     low32 = 0xFFFFFFFF
@@ -79,14 +80,14 @@ def links(fps: DataFrame, hot: int = 32) -> DataFrame:
     centres = spread(exact.join(crowded, ["h", "key"], "left_semi"), singles).groupBy("h", "key", "mid").agg(F.min("fp").alias("centre"))
     met = ball.join(crowded, ["h", "key"], "left_semi")
     met = spread(met.where(F.col("left") == RADIUS), doubles).union(spread(met.where(F.col("left") < RADIUS), singles))
-    stars = met.join(centres.hint("merge"), ["h", "key", "mid"]).where("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
-    return pairs.union(stars)
+    stars = met.join(centres.hint("merge"), ["h", "key", "mid"]).where((F.col("fp") != F.col("centre")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= RADIUS))
+    return pairs.union(stars.select(F.col("centre").alias("a"), F.col("fp").alias("b")))
 
 
 def classes(docs: DataFrame, width: int = 3, hot: int = 32) -> DataFrame:
-    """Near-duplicate classes of docs (doc_id, text; others are ignored): doc_id, fp (signed long), component_id.
+    """Near-duplicate classes of docs (doc_id, text; others are ignored): doc_id, fp (signed long), component_id, text_hash, class_fp.
 
-    A row for every row of docs. Fingerprints within RADIUS bits are linked; component_id is the least doc_id among the
+    A row for every row of docs; class_fp, a fingerprint, names the class even where no row of it has a doc_id. Fingerprints within RADIUS bits are linked; component_id is the least doc_id among the
     rows whose fingerprints can be reached (null only if all of those are null). Null or empty texts, and texts of blanks,
     have fingerprint 0 and are linked like any other; repeated rows share a class; an empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies of any size costs one row beyond its own.
@@ -96,5 +97,5 @@ def classes(docs: DataFrame, width: int = 3, hot: int = 32) -> DataFrame:
     parts = connected_components(links(nodes.select("fp"), hot), "links")
     named = nodes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_fp = cut(named.join(least, "component").select("fp", "component_id"), "classes")
-    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = cut(named.join(least, "component").select("fp", "component_id", F.col("component").alias("class_fp")), "classes")
+    return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id", "text_hash", "class_fp")
