@@ -16,17 +16,20 @@ from tokiwa.llm.common import remainder, slices
 
 UNDETERMINED = "und"
 #: Bytes of texts whose words are in memory at once.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
 #: Bytes that UTF-8 never has mark the ends of words.
 FIRST, LAST = b"\xfe", b"\xff"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """rows_per_language bounds the sample of labelled rows that the model is fitted on; all other figures are the fit's."""
+    """rows_per_language and most_bytes bound the sample of labelled rows that the model is fitted on, texts over longest
+    bytes aside. Every language is learnt; over most_languages of them is an error. All other figures are the fit's."""
 
     rows_per_language: int = 200
     most_languages: int = 256
+    longest: int = 200_000
+    most_bytes: int = 64 << 20
     buckets: int = 1 << 16
     window: int = 40
     batch: int = 256
@@ -150,17 +153,22 @@ def tokens(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 def sample(docs: DataFrame, settings: Settings) -> dict[str, list[str]]:
     """At most rows_per_language texts of each language, those with the least hashes of doc_id and text.
 
-    Every labelled row is counted; about twice the bound are drawn by hash and brought to the driver, at most.
+    Every labelled row is counted; about twice the bound are drawn by hash and brought to the driver, at most, and fewer
+    of each language if their bytes would be more than most_bytes.
     """
+    size = F.octet_length("text")
     docs = docs.where("lang is not null and text rlike '\\\\p{L}'").withColumn("_h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)))
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(settings.most_languages).collect()}
-    if not counts:
+    short = size <= settings.longest
+    counts = docs.groupBy("lang").agg(F.count_if(short).alias("n"), F.sum(F.when(short, size)).alias("bytes")).limit(settings.most_languages + 1).collect()
+    if len(counts) > settings.most_languages:
+        raise ValueError(f"over {settings.most_languages} languages: raise Settings.most_languages, which the model's memory grows with")
+    wanted = {r["lang"]: min(r["n"], 1.5 * settings.rows_per_language + 20) for r in counts if r["n"]}
+    if not wanted:
         return {}
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        bar = min(1.0, (1.5 * settings.rows_per_language + 20) / n) * (1 << 30)
-        keep = keep | ((F.col("lang") == lang) & (F.col("_h") < int(bar)))
-    drawn = sorted((r["lang"], r["_h"], r["text"]) for r in docs.where(keep).select("lang", "_h", "text").collect())
+    share = min(1.0, settings.most_bytes / sum(n * r["bytes"] / r["n"] for r in counts if (n := wanted.get(r["lang"]))))
+    bars = [(r["lang"], int(min(1.0, share * wanted[r["lang"]] / r["n"]) * (1 << 30))) for r in counts if r["lang"] in wanted]
+    bars = F.broadcast(docs.sparkSession.createDataFrame(bars, "lang string, _bar long"))  # a row a language
+    drawn = sorted((r["lang"], r["_h"], r["text"]) for r in docs.where(short).join(bars, "lang").where("_h < _bar").select("lang", "_h", "text").collect())
     found: dict[str, list[str]] = {}
     for lang, _, text in drawn:
         if len(texts := found.setdefault(lang, [])) < settings.rows_per_language:
@@ -300,7 +308,7 @@ def identify(docs: DataFrame, learn: Column | None = None, settings: Settings =
     from); of these it is fitted on at most rows_per_language rows of each language, chosen by hash. lang_pred: the
     language of the most words, counted by their probabilities, first in alphabetical order if two have the same; score:
     its mean probability over the words with letters. A text that is null or has no letter gets `und` and 0, and so does
-    every text if there is nothing to learn from. Repeated rows are judged alike; an empty table gives an empty result.
+    every text if there is nothing to learn from. A text of any length is judged whole. Repeated rows are judged alike; an empty table gives an empty result.
     """
     may = F.coalesce(learn if learn is not None else remainder(F.col("doc_id"), 4) != 2, F.lit(True))
     docs = docs.drop("held_out", "lang_pred", "score").withColumn("held_out", ~may)
