@@ -21,10 +21,10 @@ AT_ONCE = 8 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """most_target bounds the labelled rows that make the target model (a hash of doc_id chooses); raw text is all rows."""
+    """most_sent: more good doc_ids than that meet the texts in a sort-merge join instead of going to every worker."""
 
     buckets: int = 10_000
-    most_target: int = 20_000
+    most_sent: int = 2_000_000
     smoothing: float = 1.0
     seed: str = "resample"
 
@@ -48,12 +48,11 @@ def ngrams(texts: pa.Array, settings: Settings) -> tuple[np.ndarray, np.ndarray]
     return (every % np.uint64(settings.buckets)).astype(np.int64), np.concatenate([owner, owner[:-1][same]])
 
 
-def target_rows(labels: DataFrame, settings: Settings) -> DataFrame:
-    """(doc_id, target): at most most_target rows of good quality, by the least hashes of doc_id."""
-    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    n = good.count()
-    bar = int(min(1.0, 0.98 * settings.most_target / max(1, n)) * (1 << 30))
-    return good.where(F.col("_h") < bar).limit(settings.most_target).select("doc_id", F.lit(True).alias("target"))
+def targeted(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """docs with target: whether a label of the doc_id says good quality. All labels count, however many there are."""
+    good = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("target", F.lit(True))
+    good = F.broadcast(good) if good.count() <= settings.most_sent else good.hint("merge")
+    return docs.join(good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
 def log_ratios(docs: DataFrame, settings: Settings) -> np.ndarray:
@@ -116,9 +115,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, settings:
     like the word null. Without labels of good quality all rows weigh alike, and k is all; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    target = F.broadcast(target_rows(labels, settings))  # at most most_target rows
-    docs = docs.join(target, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    ratios = log_ratios(docs, settings)
+    ratios = log_ratios(targeted(docs, labels, settings), settings)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, 1, AT_ONCE)):

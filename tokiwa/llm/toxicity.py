@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +19,12 @@ AT_ONCE = 2 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """most_rows bounds the labelled rows that the model is fitted on (a hash of doc_id chooses); the rest is the fit's."""
+    """most_rows and most_bytes bound the labelled rows that the model is fitted on (a hash of doc_id chooses), texts over
+    longest bytes aside; the rest is the fit's."""
 
     most_rows: int = 6_000
+    longest: int = 200_000
+    most_bytes: int = 64 << 20
     buckets: int = 1 << 18
     stems: tuple[int, ...] = (4, 5, 6, 7)
     grades: int = 2
@@ -116,24 +119,52 @@ def telling(rows: Rows, toxic: np.ndarray, settings: Settings) -> np.ndarray:
     return odds / np.sqrt(1 / one + 1 / zero)
 
 
-def graded(rows: Rows, toxic: np.ndarray, settings: Settings) -> np.ndarray:
-    """Ordered grades from 0/1 labels: 0 for clean rows; toxic ones in equal parts by how much of them tells them apart.
-
-    That is the summed value of the buckets that tell toxic rows from clean ones.
+def likelihood(s: np.ndarray, y: np.ndarray, first: float, gaps: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray]:
+    """The mean negative log likelihood of grades y at scores s, its slopes by each score (times their number), by the first
+    threshold and by the logarithms of the gaps between thresholds."""
+    k, n = len(gaps) + 1, len(y)
+    theta = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
+    p = 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -40, 40)))  # P(grade > j)
+    upper = np.concatenate([np.ones((n, 1)), p], axis=1)[np.arange(n), y]
+    lower = np.concatenate([p, np.zeros((n, 1))], axis=1)[np.arange(n), y]
+    chance = np.maximum(upper - lower, 1e-9)
+    du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
+    by_theta = np.zeros(k)
+    np.add.at(by_theta, y[y > 0] - 1, du[y > 0])
+    np.add.at(by_theta, y[y < k], -dl[y < k])
+    tail = np.cumsum((by_theta / n)[::-1])[::-1]
+    return float(-np.log(chance).mean()), dl - du, float(tail[0]), tail[1:] * np.exp(gaps)
+
+
+def fit(texts: list[str], grade: list[int], settings: Settings) -> Model:
+    """Fit on texts and their grades; of toxic ones that have only been told from clean ones, `cross_graded` makes grades."""
+    rows, grade = Rows(pa.array(texts, pa.string()), settings), np.array(grade, dtype=np.int64)
+    if settings.grades > 1 and grade.max(initial=0) <= 1:
+        grade = cross_graded(rows, grade > 0, settings)
+    return fitted(rows, grade, settings)
+
+
+def cross_graded(rows: Rows, toxic: np.ndarray, settings: Settings) -> np.ndarray:
+    """Ordered grades from 0/1 labels: 0 for clean rows; toxic ones in equal parts by how toxic the other half finds them.
+
+    Each half of the rows is scored by a model of the two labels that was fitted on the other half alone. So no row's grade
+    comes from its own label's or features' part in a model.
     """
+    score, half = np.zeros(rows.n), np.arange(rows.n) % 2 == 0
+    for mine in (half, ~half):
+        others = np.flatnonzero(~mine)
+        model = fitted(rows.some(others), toxic[others].astype(np.int64), replace(settings, grades=1))
+        score[mine] = rows.some(np.flatnonzero(mine)).times(model.weights)
     grade = np.zeros(rows.n, dtype=np.int64)
-    weight = rows.times((telling(rows, toxic, settings) >= settings.least_z).astype(float))
-    ranked = np.flatnonzero(toxic)[np.argsort(weight[toxic], kind="stable")]
+    ranked = np.flatnonzero(toxic)[np.argsort(score[toxic], kind="stable")]
     for j, part in enumerate(np.array_split(ranked, settings.grades)):
         grade[part] = j + 1
     return grade
 
 
-def fit(texts: list[str], toxic: list[int], settings: Settings) -> Model:
+def fitted(rows: Rows, grade: np.ndarray, settings: Settings) -> Model:
     """Fit by likelihood with Adagrad on shuffled batches; the gaps between thresholds stay positive by their logarithms."""
-    rows = Rows(pa.array(texts, pa.string()), settings)
-    flags = np.array(toxic, dtype=bool)
-    grade, k = graded(rows, flags, settings), settings.grades
+    k, flags = settings.grades, grade > 0
     rng = np.random.default_rng(settings.seed)
     w, first, gaps = np.zeros(settings.buckets), 2.0, np.zeros(k - 1)
     if not flags.any() or flags.all():
@@ -145,49 +176,50 @@ def fit(texts: list[str], toxic: list[int], settings: Settings) -> Model:
         order = rng.permutation(rows.n)
         for i in range(0, rows.n, settings.batch):
             chosen = order[i : i + settings.batch]
-            part, y = rows.some(chosen), grade[chosen]
-            theta = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-            s = part.times(w)
-            p = 1 / (1 + np.exp(np.clip(theta[None, :] - s[:, None], -40, 40)))  # P(grade > j)
-            upper = np.concatenate([np.ones((part.n, 1)), p], axis=1)[np.arange(part.n), y]
-            lower = np.concatenate([p, np.zeros((part.n, 1))], axis=1)[np.arange(part.n), y]
-            chance = np.maximum(upper - lower, 1e-9)
-            du, dl = upper * (1 - upper) / chance, lower * (1 - lower) / chance
-            slope = -(du - dl)  # of the negative log likelihood by s
+            part = rows.some(chosen)
+            _, slope, by_first, by_gaps = likelihood(part.times(w), grade[chosen], first, gaps)
             at = np.unique(part.bucket)
             g = np.bincount(np.searchsorted(at, part.bucket), slope[part.row] * part.value, len(at)) / part.n + settings.decay * w[at]
             sum_w[at] += g * g
             w[at] -= settings.rate * g / np.sqrt(sum_w[at])
-            by_theta = np.zeros(k)
-            has_upper, has_lower = y > 0, y < k
-            np.add.at(by_theta, y[has_upper] - 1, du[has_upper])
-            np.add.at(by_theta, y[has_lower], -dl[has_lower])
-            by_theta /= part.n
-            tail = np.cumsum(by_theta[::-1])[::-1]
-            g = np.concatenate([[tail[0]], tail[1:] * np.exp(gaps)])
+            g = np.concatenate([[by_first], by_gaps])
             sum_t += g * g
             first -= settings.threshold_rate * g[0] / np.sqrt(sum_t[0])
             gaps -= settings.threshold_rate * g[1:] / np.sqrt(sum_t[1:])
     return Model(w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
+def severities(labels: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, severity): the worst of each labelled doc_id's labels: column severity, up to `grades`, or else toxic, 0 or 1."""
+    name = "severity" if "severity" in labels.columns else "toxic"
+    most = settings.grades if name == "severity" else 1
+    given = labels.where(F.col("doc_id").isNotNull() & F.col(name).isNotNull())
+    return given.groupBy("doc_id").agg(F.greatest(F.least(F.max(F.col(name).cast("int")), F.lit(most)), F.lit(0)).alias("severity"))
+
+
 def sample(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], list[int]]:
-    """At most most_rows labelled texts with their labels, those with the least hashes of doc_id; labels meet texts by doc_id."""
-    labels = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    n = labels.count()
-    bar = int(min(1.0, settings.most_rows / max(1, n)) * (1 << 30))
-    rows = docs.select("doc_id", "text").join(labels.where(F.col("_h") < bar), "doc_id").select("_h", "text", "toxic").collect()
-    rows = sorted(((r["_h"], r["text"] or "", int(r["toxic"] > 0)) for r in rows))[: settings.most_rows]
+    """At most most_rows labelled texts with their grades, those with the least hashes of doc_id; labels meet texts by doc_id.
+
+    How many and how long they are is counted first; fewer are taken if their bytes would be more than most_bytes.
+    """
+    labels = severities(labels, settings).withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
+    bar = min(1.0, settings.most_rows / max(1, labels.count()))
+    size = F.octet_length("text")
+    drawn = docs.select("doc_id", "text").where(F.coalesce(size, F.lit(0)) <= settings.longest).join(labels.where(F.col("_h") < int(bar * (1 << 30))), "doc_id")
+    total = drawn.agg(F.sum(size)).first()[0] or 0
+    bar *= min(1.0, settings.most_bytes / max(1, total))
+    rows = drawn.where(F.col("_h") < int(bar * (1 << 30))).select("_h", "text", "severity").collect()
+    rows = sorted((r["_h"], r["text"] or "", r["severity"]) for r in rows)[: settings.most_rows]
     return [t for _, t, _ in rows], [y for _, _, y in rows]
 
 
 def grade(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Grade every row of docs (doc_id, text; others pass through) by a model fitted on labels (doc_id, toxic 0 or 1).
 
-    Returns the columns of docs with p_toxic (the probability of a grade over 0), expected_severity (0 to `grades`), grade
+    Where labels have a column severity that is the grade learnt; else toxic texts are graded by `cross_graded`. Returns the columns of docs with p_toxic (the probability of a grade over 0), expected_severity (0 to `grades`), grade
     (the likeliest) and toxic (p_toxic at least `flagged`); clashing names are replaced. Labels with a null doc_id or label
     are ignored; of several for one doc_id the worst holds. A null, empty or wordless text is not toxic, with severity 0;
-    so is every text if no row is labelled toxic. Repeated rows are graded alike; an empty table gives an empty result.
+    so is every text if no row is labelled toxic. A text of any length is graded whole. Repeated rows are graded alike; an empty table gives an empty result.
     """
     docs = docs.drop("p_toxic", "expected_severity", "grade", "toxic")
     model = fit(*sample(docs, labels, settings), settings)
