@@ -15,41 +15,57 @@ LEAST_SCORE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the texts whose language is known; those with no letter, or of no one language, go. lang stays as it was."""
-    judged = langid.identify(docs)
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    """Keep the texts whose language is known; those with no letter, null or empty ones, or of no one language, go.
+
+    A null lang becomes the predicted one; any other stays. Rows with a null doc_id and repeated rows are judged like any
+    other; an empty table stays empty. Columns other than COLUMNS are dropped, here as in every stage.
+    """
+    judged = langid.identify(docs.select(*COLUMNS))
+    known = judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each near-duplicate class, that with the least doc_id.
+    """Keep one row of each near-duplicate class: that with the least doc_id, a null one last, then by a hash of the text.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id can't be told apart by it and all stay.
+    Rows are told apart by doc_id and text, so rows that share a doc_id, or have none, are kept or not each by itself; of
+    rows equal in both one stays. Null, empty and blank texts are one class; an empty table stays empty.
     """
     found = simhash.classes(docs.select("doc_id", "text"))
-    keepers = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    keepers = cut(keepers, "keepers").hint("merge")  # the texts are dealt by doc_id alike at every size
+    counted = found.groupBy("class_fp", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+    least = counted.groupBy("class_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash", "n")).alias("k"))
+    keepers = cut(least.select(F.col("k.doc_id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.col("k.n").alias("_n")), "keepers").hint("merge")  # the texts are dealt by them alike at every size
     release(spark)
-    kept = docs.join(keepers, "doc_id").select("n", *COLUMNS)
-    once, often = kept.where("n = 1").select(*COLUMNS), kept.where("n > 1").select(*COLUMNS).dropDuplicates(["doc_id"])
-    return once.union(often).union(docs.where("doc_id is null").select(*COLUMNS))
+    rows = docs.select(*COLUMNS, F.xxhash64(F.col("text").cast("string")).alias("_h"))
+    kept = rows.join(keepers, (F.col("_h") == F.col("_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    once, often = kept.where("_n = 1").select(*COLUMNS), kept.where("_n > 1").dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
+    return once.union(often)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace every secret in the texts by a mark, and count n_chars anew where there was one."""
-    scanned = secrets.scan(docs)
+    """Replace every secret in the texts by a mark, and count n_chars anew where there was one.
+
+    All rows stay; a null or empty text, or one without a secret, stays as it is, as does its n_chars. Repeated rows and
+    null doc_ids are treated alike; an empty table stays empty.
+    """
+    scanned = secrets.scan(docs.select(*COLUMNS))
     clean = scanned.withColumn("_clean", secrets.redacted(F.col("text"), F.col("spans")))
     changed = F.size("spans") > 0
     return clean.select("doc_id", F.col("_clean").alias("text"), "lang", "source", F.when(changed, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bring all sources to the same weight by replication, and shuffle."""
+    """Bring all sources to the same weight by replication, and shuffle.
+
+    A null source is a source of its own; rows with a null text or doc_id, and repeated rows, are drawn as `mixing.mix` says;
+    an empty table stays empty.
+    """
     release(spark)
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left, each copy by itself."""
+    """Pack what is left, each copy by itself: a row for each piece. A null or empty text is its end id; an empty table gives none."""
     release(spark)
     return packing.pack(docs, tokenizer_path())
 
