@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from tests.compare import oracle_rows, rows_of
-from tokiwa.operators import dictionary, lattice
+from tokiwa.operators import dictionary, index, lattice
 from tokiwa.plans import registry
 
 TEXTS = {
@@ -69,11 +69,16 @@ def test_index_and_search(spark, folder, found):
     for tag, i in sorted(post):
         docs[tag].append(i)
     digest = lambda ids: hashlib.md5(",".join(map(str, ids)).encode()).hexdigest()
-    assert tuples(registry.inverted_index(spark, folder), "tag", "df", "doc_ids_md5") == sorted((t, len(ids), digest(ids)) for t, ids in docs.items())
+    assert tuples(registry.inverted_index(spark, folder), "tag", "block", "n", "doc_ids_md5") == sorted((t, 0, len(ids), digest(ids)) for t, ids in docs.items())
+    blocks = index.inverted_index(index.postings(registry.corpus_tokens(spark, folder)), width=3)
+    assert sorted((r["tag"], r["block"], tuple(r["doc_ids"])) for r in blocks.collect()) == sorted((t, b, tuple(i for i in ids if i // 3 == b)) for t, ids in docs.items() for b in {i // 3 for i in ids})
     best = []
     for q, ts in by_lattice(ITEMS).items():
         score = Counter(i for tag in first_tags(ts) for i in docs.get(tag, ()))
         best += [(q, i, n, k) for k, (i, n) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:10], 1)]
+    asked = spark.createDataFrame([(q, t) for q, ts in by_lattice(ITEMS).items() for t in first_tags(ts)], "query_id long, tag string")
+    tags = spark.createDataFrame([(i, first_tags(ts)) for i, ts in found.items()], "doc_id long, tags array<string>")
+    assert tuples(index.search(asked, tags, top=10, most_sent=0), "query_id", "doc_id", "score", "search_rank") == sorted(best)
     assert any(q == 3 for q, *_ in best) and tuples(registry.search_rank(spark, folder), "query_id", "doc_id", "score", "search_rank") == sorted(best)
 
 

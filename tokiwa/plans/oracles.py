@@ -99,7 +99,7 @@ ORACLES = {
     "token_freq_topk": TOKENS + " SELECT surface, count(*) AS n FROM tokens GROUP BY surface ORDER BY n DESC, surface LIMIT 100",
     "tags_noun_min2_dedup": TOKENS + ", firsts AS (SELECT doc_id, surface AS tag, min(token_index) AS f FROM tokens WHERE length(surface) >= 2 GROUP BY ALL) SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY f)::INTEGER AS tag_rank FROM firsts",
     "tags_max_n": TOKENS + ", firsts AS (SELECT doc_id, surface AS tag, min(token_index) AS f FROM tokens WHERE length(surface) >= 2 GROUP BY ALL), ranked AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY f) AS r FROM firsts) SELECT doc_id, (r - 1)::INTEGER AS place, tag, 'NOUN' AS pos FROM ranked WHERE r <= 10",
-    "inverted_index": TOKENS + ", " + POSTINGS + " SELECT tag, count(*) AS df, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS doc_ids_md5 FROM postings GROUP BY tag",
+    "inverted_index": TOKENS + ", " + POSTINGS + " SELECT tag, doc_id // 65536 AS block, count(*) AS n, md5(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id)) AS doc_ids_md5 FROM postings GROUP BY ALL",
     "postings_tf": TOKENS + ", " + POSTINGS + " SELECT tag, doc_id, tf FROM postings",
     "filters_bytes_and_basic": TOKENS + " SELECT length(surface)::INTEGER AS n_chars, count(*) AS n FROM tokens WHERE strlen(surface) >= 4 GROUP BY ALL",
     "compound_merge": """WITH parts AS (SELECT conv_id || '/' || turn AS doc_key, regexp_extract_all(text, '[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+') AS p FROM conversations),

@@ -151,9 +151,9 @@ def tags_max_n(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each tag's document frequency and the digest of its sorted documents."""
+    """Each tag's documents by block of doc_ids: how many, and the digest of them in order."""
     found = index.inverted_index(index.postings(corpus_tokens(spark, sf_dir)))
-    return found.select("tag", "df", F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")).alias("doc_ids_md5"))
+    return found.select("tag", "block", "n", F.md5(F.array_join(F.transform("doc_ids", lambda x: x.cast("string")), ",")).alias("doc_ids_md5"))
 
 
 @query
@@ -165,7 +165,8 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text as a query; ties by doc_id."""
     asked = analyze.morphemes(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
-    return index.search(asked, index.postings(corpus_tokens(spark, sf_dir)), top=10)
+    docs = analyze.arrays(documents(spark, sf_dir)).select("doc_id", index.distinct_tags(F.col("morphemes")).alias("tags"))
+    return index.search(asked, docs, top=10)
 
 
 @query
