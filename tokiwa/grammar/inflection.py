@@ -72,6 +72,7 @@ def verb_endings() -> dict[str, list[tuple[str, str, str]]]:
     out["POTENTIAL"] += [(e, b, k) for e, b, k in out["KATEIKEI"] if k == "GODAN_RA"]
     for form in ("MIZENKEI", "RENYOKEI", "ONBINKEI"):  # 書け- takes auxiliaries as a one-step stem does
         out[form] += [(e, b, k) for e, b, k in out["POTENTIAL"]]
+    out["BASE"] += [(e + "る", b, k) for e, b, k in out["POTENTIAL"]]
     return out
 
 
@@ -134,7 +135,8 @@ def inflect(surface: str) -> tuple[Inflected, ...]:
             base = stem + base_ending
             if (not stem and kind not in ("SURU", "KURU")) or len(base) < 2 or (kind == "KURU" and base not in ("くる", "来る")):
                 continue
-            form = "POTENTIAL" if (ending, base_ending, kind) in verb_endings()["POTENTIAL"] and need in ("MIZENKEI", "RENYOKEI", "ONBINKEI") else need
+            potential = need in ("MIZENKEI", "RENYOKEI", "ONBINKEI", "BASE") and (ending.removesuffix("る"), base_ending, kind) in verb_endings()["POTENTIAL"]
+            form = "POTENTIAL" if potential else need
             got = Inflected(base, stem, surface[len(stem) :], kind, form, confidence(stem, ending, base, kind, form, len(chain)), chain)
             if (base, kind) not in found or found[base, kind].confidence < got.confidence:
                 found[base, kind] = got

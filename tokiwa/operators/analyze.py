@@ -105,11 +105,16 @@ def analyzer(entries: list[lattice.Entry] = (), options: lattice.Options = latti
     return _lists(MORPHEME, values, list(entries), options)
 
 
-def explained(entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options()) -> Callable[[Column], Column]:
-    """A function from a text column to all its candidates, without lexical extraction or chunks."""
+def explained(entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), by_cost: bool = False) -> Callable[[Column], Column]:
+    """A function from a text column to all its candidates, without lexical extraction or chunks.
+
+    They come in the order in which equal costs are decided, or by_cost the cheapest first.
+    """
 
     def values(engine: lattice.Analyzer, raw: str) -> list[tuple]:
         every = [e for here in engine.edges(lattice.normalized(raw, options)) for e in here]
+        if by_cost:
+            every.sort(key=lambda e: e.cost)
         return [(i, e.start, e.end, e.surface, e.pos, e.extended_pos, e.cost, e.lemma or e.surface, e.known) for i, e in enumerate(every)]
 
     return _lists(EDGE, values, list(entries), options)

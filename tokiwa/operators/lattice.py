@@ -310,6 +310,14 @@ class Analyzer:
             out.append(here or [Edge(at, at + 1, s[at], "OTHER", FALLBACK, extended_pos="OTHER")])
         return out
 
+    def valid(self, edges: list[list[Edge]]) -> bool:
+        """Whether some path of candidates leads from the start to the end."""
+        reached = {0}
+        for at, here in enumerate(edges):
+            if at in reached:
+                reached |= {e.end for e in here}
+        return len(edges) in reached
+
     # search
 
     def path(self, s: str) -> list[Edge]:
@@ -327,8 +335,8 @@ class Analyzer:
                     if e.pos not in later or total < later[e.pos][0]:
                         later[e.pos] = (total, e, (at, tag))
         ends = sorted(states[len(s)].items(), key=lambda x: ORDER.index(x[0]))
-        if not ends:
-            return []
+        if not ends:  # candidates that don't reach the end, as a subclass may propose: all of it is one noun
+            return [Edge(0, len(s), s, "NOUN", 0.0, extended_pos="NOUN")] if s else []
         tag, at, out = min(ends, key=lambda x: x[1][0])[0], len(s), []
         while at:
             _, e, (at, tag) = states[at][tag]
