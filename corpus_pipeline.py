@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokiwa.llm import langid, mixing, packing, secrets, simhash
-from tokiwa.llm.common import cut, release, table
+from tokiwa.llm.common import cut, discard, release, table
 from tokiwa.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -80,5 +80,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each stage's rows written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        done, docs = docs, cut(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(done)
     return STAGES[-1][1](spark, docs, sf_dir)

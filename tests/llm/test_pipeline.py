@@ -11,7 +11,7 @@ from tests.llm.test_simhash import brute_classes, brute_fingerprint
 
 import corpus_pipeline
 from tokiwa.llm import langid
-from tokiwa.llm.common import cut, table
+from tokiwa.llm.common import cut, shared_folder, table
 
 
 def redact(text):
@@ -101,3 +101,13 @@ def test_rows_without_ids_are_kept_one_by_one(spark):
 
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "dedup", "secrets", "mix", "pack"]
+
+
+def test_run_leaves_the_last_stage_only(spark):
+    """What a stage wrote is gone once the next has been written."""
+    import os
+
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 100
+    assert [x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before if x.startswith("stage-")] == ["stage-mix"]

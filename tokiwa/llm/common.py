@@ -21,16 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and all runs on one machine."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="tokiwa-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="tokiwa-")
+    return _LOCAL[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +42,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cut_path = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what cut wrote for df, as all that was made of it has been written or collected; any other df stays."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -78,6 +92,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     Alternates large-star and small-star steps until nothing changes; the rounds grow with the logarithm of the
     component size. Nothing is collected but one count and one checksum a round, and each round is cut. A hub's rows
     meet only in a minimum (combined before the shuffle) and in a sort-merge join (whose skewed partitions are split).
+    What a round wrote is deleted when the next is written.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     seen = None
@@ -87,7 +102,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct(), name)
+        done, edges = edges, cut(small.where("a <> b").distinct(), name)
+        discard(done)
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(mark) == seen:
             break

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import cut, release, remainder
+from tokiwa.llm.common import cut, discard, release, remainder
 
 #: Bytes that UTF-8 never has: what stands before a text, and its end, which is predicted like any other symbol.
 BEFORE, END = 0xFE, 0xFF
@@ -308,6 +308,7 @@ def contexts(sums: DataFrame, order: int, limit: int) -> tuple[dict[int, tuple[n
         found = cut(rows(length, hot.get(length - 1)), "ppm-contexts")
         crowded = found.where((F.col("symbol") == -1) & (F.col("n") > limit)).select("context")
         got = found.join(crowded, "context", "left_semi").collect()
+        discard(found)
         if not got:
             break
         given[length], hot[length] = table(got), np.array(sorted({r["context"] for r in got}), np.int64)
