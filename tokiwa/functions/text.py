@@ -56,10 +56,17 @@ def class_column(c: Column) -> Column:
 
 
 def class_count(text: Column, name: str) -> Column:
-    """How many characters of text are of the named class."""
+    """How many characters of text are of the named class.
+
+    ASCII is counted by what one `translate` leaves; patterns see only what isn't ASCII.
+    """
+    rest = F.regexp_replace(text, "[\\x00-\\x7F]+", "")
     if name == OTHER_CLASS:
-        return F.length(F.regexp_replace(text, f"[{java_class(*CLASS_RANGES)}]+", ""))
-    return F.length(text) - F.length(F.regexp_replace(text, f"[{java_class(name)}]+", ""))
+        known = "".join(chr(c) for c in range(128) if char_class(chr(c)) != OTHER_CLASS)
+        return F.length(F.translate(text, known, "")) - F.length(rest) + F.length(F.regexp_replace(rest, f"[{java_class(*CLASS_RANGES)}]+", ""))
+    own = "".join(chr(c) for c in range(128) if char_class(chr(c)) == name)
+    ascii_count = F.length(text) - F.length(F.translate(text, own, "")) if own else F.lit(0)
+    return ascii_count + F.length(rest) - F.length(F.regexp_replace(rest, f"[{java_class(name)}]+", ""))
 
 
 def class_runs(text: Column) -> Column:

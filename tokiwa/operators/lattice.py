@@ -181,7 +181,10 @@ class Analyzer:
         for e in entries:
             self.entries[e.surface].append(e)
         self.conjugating = {e.lemma or e.surface for es in self.entries.values() for e in es if e.pos in ("VERB", "ADJ")}
-        self.longest = max(map(len, self.entries), default=0)
+        #: How long words are that begin with a character or two, so that no longer stretch is looked up.
+        self.longest: dict[str, int] = defaultdict(int)
+        for w in self.entries:
+            self.longest[w[:2]] = max(self.longest[w[:2]], len(w))
         self.connections = {(a, b): COARSE_COSTS[i][j] for i, a in enumerate(COARSE) for j, b in enumerate(COARSE)}
         for p in (*COARSE, "INTJ"):
             self.connections[("INTJ", p)] = self.connections[("OTHER", p if p != "INTJ" else "OTHER")]
@@ -189,6 +192,7 @@ class Analyzer:
         self.connections |= {k: v for k, v in options.connection.items() if k in self.connections and not {*k} - set(ORDER)}
         self.links = categories.links() | {k: v for k, v in options.connection.items() if {*k} - set(ORDER)}
         self.rules = categories.surface_rules()
+        self.met: dict[tuple[str, str, str, str], float] = {}
         #: Whether no entry can stand in a span of the closed form, so that spans that it covers needn't be searched.
         self.plain = options.preserve_case and all(NOT_CLOSED.search(w) for w in self.entries)
 
@@ -200,7 +204,18 @@ class Analyzer:
         """What e costs after before, or at the start."""
         if before is None:
             return START_COSTS.get(e.pos, 0.0) + START_CATEGORY_COSTS.get(e.extended_pos, 0.0)
-        return self.connections.get((before.pos, e.pos), 0.0) + self.links.get((before.extended_pos, e.extended_pos), 0.0) + sum(r.cost for r in self.rules.get(before.extended_pos, ()) if r.holds(before.surface, e.extended_pos, e.surface))
+        return self.connections.get((before.pos, e.pos), 0.0) + self.links.get((before.extended_pos, e.extended_pos), 0.0) + self.exceptions(before, e)
+
+    def exceptions(self, before: Edge, e: Edge) -> float:
+        """What the rules on surfaces add, remembered by both surfaces and categories."""
+        if before.extended_pos not in self.rules:
+            return 0.0
+        key = (before.extended_pos, before.surface, e.extended_pos, e.surface)
+        if key not in self.met:
+            if len(self.met) > 100_000:
+                self.met.clear()
+            self.met[key] = sum(r.cost for r in self.rules[before.extended_pos] if r.holds(before.surface, e.extended_pos, e.surface))
+        return self.met[key]
 
     # candidates
 
@@ -294,7 +309,8 @@ class Analyzer:
         kinds = [text.char_class(c) for c in s]
         out = []
         for at, kind in enumerate(kinds):
-            known = [e for n in range(1, min(self.longest, len(s) - at) + 1) for e in self.entries.get(s[at : at + n], ())]
+            most = min(len(s) - at, max(1, self.longest.get(s[at : at + 2], 1)))
+            known = [e for n in range(1, most + 1) for e in self.entries.get(s[at : at + n], ())]
             here = [Edge(at, at + len(e.surface), e.surface, e.pos, self.word_cost(e), e.lemma, True, e.user, e.formal, e.extended_pos) for e in known]
             here += [x for e in here for x in self.drawn_out(s, e)]
             reach = max((len(e.surface) for e in known), default=0)
