@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -40,8 +41,9 @@ def test_boundaries(data):
 
 
 def brute(rows):
-    """rows: (doc_id, text) in order of doc_id, nulls first, then of text."""
-    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    """rows: (doc_id, text) in order of doc_id, nulls first, then of the text's hash as a signed number, then of the text."""
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + (1 << 63)) % (1 << 64)
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]), r[1]))
     out = []
     for n, (i, t) in enumerate(rows):
         after = rows[(n + 1) % len(rows)][1]
@@ -67,6 +69,17 @@ def test_buckets(spark, sf, per_bucket, monkeypatch):
     assert sorted((tuple(r) for r in chunking.compare(docs).collect()), key=repr) == brute([tuple(r) for r in docs.collect()])
 
 
+def test_hot_ids_are_split(spark, monkeypatch):
+    """A third of the rows has one doc_id, a third has none: their buckets are as small as others', and all is as in order."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i} " * (i % 5)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r["count"] for r in chunking.neighbours(docs, per_bucket=20).where("ahead = 0").groupBy("bucket").count().collect()]
+    assert max(sizes) < 120 and len(sizes) >= 20  # a fifth of the texts is empty, 40 of these under one id
+    plain = chunking.neighbours
+    monkeypatch.setattr(chunking, "neighbours", lambda d: plain(d, 20))
+    assert sorted((tuple(r) for r in chunking.compare(docs).collect()), key=repr) == brute(rows)
+
+
 def test_odd_rows(odd, none):
     assert sorted((tuple(r) for r in chunking.compare(odd).collect()), key=repr) == brute([tuple(r) for r in odd.select("doc_id", "text").collect()])
     assert chunking.compare(none).collect() == []

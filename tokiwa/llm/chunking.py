@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -98,41 +99,65 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def bucket_of(value: Column, cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below value, by bisection; 0 for null."""
-    if not cuts:
+#: What rows are in order of: whether there is a doc_id (nulls first), the doc_id, and a hash of the text.
+PLACE = "struct<known:boolean,doc_id:bigint,hash:bigint>"
+
+
+def bounds(docs: DataFrame, n: int, buckets: int) -> list[tuple[bool, int, int]]:
+    """Places after which buckets end, in order: approximate quantiles of doc_id, and for a doc_id of many rows of the hash.
+
+    How often a doc_id is among the quantiles says how many buckets its rows are worth; rows without one are counted.
+    """
+    if buckets < 2:
+        return []
+    row = docs.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000).alias("q"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    least, most = -(1 << 63), (1 << 63) - 1
+    parts = lambda known, doc_id, k: [(known, doc_id, least + (i << 64) // k) for i in range(1, k)] + [(known, doc_id, most)]
+    out = parts(False, 0, -(-row["nulls"] * buckets // n)) if row["nulls"] else []
+    for doc_id, times in sorted(Counter(row["q"] or []).items()):
+        if times > 1:  # the rows before it end apart
+            out.append((True, doc_id - 1 if doc_id > least else doc_id, most if doc_id > least else least))
+        out += parts(True, doc_id, times)
+    return sorted(set(out))
+
+
+def bucket_of(place: Column, ends: list[tuple[bool, int, int]]) -> Column:
+    """How many of the sorted ends are below place, by bisection."""
+    if not ends:
         return F.lit(0)
-    bounds = F.lit(cuts).cast("array<bigint>")
+    known, doc_id, digest = (F.lit(list(x)).cast(f"array<{t}>") for x, t in zip(zip(*ends, strict=True), ("boolean", "bigint", "bigint"), strict=True))
 
     def halve(acc: Column, _: Column) -> Column:
         middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        below = F.coalesce(F.get(bounds, middle) < value, F.lit(False))
+        k, d, h = F.get(known, middle), F.get(doc_id, middle), F.get(digest, middle)
+        under = (k < place["known"]) | ((k == place["known"]) & ((d < place["doc_id"]) | ((d == place["doc_id"]) & (h < place["hash"]))))
+        below = F.coalesce(under, F.lit(False))
         return F.struct(F.when(below, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(below, acc["hi"]).otherwise(middle).alias("hi"))
 
-    steps = F.sequence(F.lit(1), F.lit(len(cuts).bit_length()))
-    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve)["lo"]
-    return F.when(value.isNull(), 0).otherwise(found)
+    steps = F.sequence(F.lit(1), F.lit(len(ends).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(ends)).alias("hi")), halve)["lo"]
 
 
 def neighbours(docs: DataFrame, per_bucket: int = 250, most_buckets: int = 20_000) -> DataFrame:
-    """Rows of docs dealt to buckets of consecutive doc_ids, sorted: bucket, ahead, doc_id, text.
+    """Rows of docs dealt to buckets of consecutive places, sorted: bucket, ahead, doc_id, text, place.
 
-    Bucket bounds are approximate quantiles of doc_id, so buckets are even whatever the ids; each bucket also gets, with
-    ahead = 1, the rows of the first doc_id of the next non-empty bucket (the first bucket's for the last). So every row's
-    follower is in its own bucket, and the texts are shuffled once. The driver gets a bound and a row for each bucket, of
-    which there are at most most_buckets; a bucket may hold any number of rows, as they are only sorted and streamed.
+    Rows are in order of doc_id (nulls first), those of one doc_id of a hash of their texts. Bucket bounds are approximate
+    quantiles of that order, so buckets are even whatever the ids, be one of them that of a third of all rows; each bucket
+    also gets, with ahead = 1, the rows of the first place of the next non-empty bucket (the first bucket's for the last).
+    So every row's follower is in its own bucket, and the texts are shuffled once. The driver gets a bound and a row for
+    each bucket, of which there are at most about twice most_buckets; a bucket's rows are only sorted and streamed.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.xxhash64("text").alias("hash"))
     n = docs.select("doc_id").count()
-    buckets = max(1, min(most_buckets, n // per_bucket))
-    cuts = sorted(set(docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 100_000)).first()[0] or [])) if buckets > 1 else []
-    bucket = bucket_of(F.col("doc_id"), cuts)
-    firsts = sorted((r["bucket"], r["nulls"], r["least"]) for r in docs.select("doc_id", bucket.alias("bucket")).groupBy("bucket").agg(F.max(F.col("doc_id").isNull().cast("int")).alias("nulls"), F.min("doc_id").alias("least")).collect())  # a row a bucket
-    ahead = [(None if nulls else least, firsts[i - 1][0]) for i, (_, nulls, least) in enumerate(firsts)]
-    spark = docs.sparkSession
-    more = F.broadcast(spark.createDataFrame(ahead, "first long, to int"))  # a row a bucket
-    doubled = docs.join(more, docs["doc_id"].eqNullSafe(more["first"])).select(F.col("to").alias("bucket"), F.lit(1).alias("ahead"), "doc_id", "text")
-    return docs.select(bucket.alias("bucket"), F.lit(0).alias("ahead"), "doc_id", "text").union(doubled)
+    ends = bounds(docs, n, max(1, min(most_buckets, n // per_bucket)))
+    placed = docs.withColumn("place", place).withColumn("bucket", bucket_of(F.col("place"), ends))
+    firsts = sorted((r["bucket"], r["least"]) for r in placed.groupBy("bucket").agg(F.min("place").alias("least")).collect())  # a row a bucket
+    ahead = [(tuple(least), firsts[i - 1][0]) for i, (_, least) in enumerate(firsts)]
+    more = F.broadcast(docs.sparkSession.createDataFrame(ahead, f"first {PLACE}, to int"))  # a row a bucket
+    doubled = placed.join(more, placed["place"] == more["first"]).select(F.col("to").alias("bucket"), F.lit(1).alias("ahead"), "doc_id", "text", "place")
+    return placed.select("bucket", F.lit(0).alias("ahead"), "doc_id", "text", "place").union(doubled)
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -145,7 +170,7 @@ def compare(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
     Returns doc_id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next. A
     fingerprint is the set of the text's distinct chunks, each a digest and a length; the likeness of x to y is the part
     of x's length whose chunks y has as well. The follower of a row is the next in order of doc_id (nulls first; rows of
-    one doc_id in order of text), that of the last row the first. A null text is empty: its fingerprint is the empty
+    one doc_id in order of the text's XXH64, then of the text), that of the last row the first. A null text is empty: its fingerprint is the empty
     string, 1 like another empty one and 0 like any other. A single row follows itself; an empty table gives none.
     """
 
@@ -178,5 +203,5 @@ def compare(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
                     out = []
         yield batch_of(out)
 
-    ordered = neighbours(docs).repartition("bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
+    ordered = neighbours(docs).repartition("bucket").sortWithinPartitions("bucket", "ahead", "place", "text").drop("place")
     return ordered.mapInArrow(walk, SCHEMA)
