@@ -32,6 +32,8 @@ SECOND_VERBS = (
 SECOND_READINGS = "こむ だす つづける かえす なおす あう めぐる つぶす しめる おわる はじめる あわせる かける あげる さげる いれる"
 # Stems of one-step verbs of a single kanji; kana that are particles more often than part of a verb's stem.
 BARE_ICHIDAN, PARTICLE_LIKE = "見居出寝得経着似煮", "をがはにへのもでとだ"
+# Pronouns of one kanji, which no verb's stem is.
+ASKED_OR_NAMED = "何誰私僕俺君彼我皆"
 # What stands after each form of a verb.
 AFTER = {
     "a": "ない|なかっ|なけれ|なく|なきゃ|れ|せ|ず|ぬ|ん(?![でだ])|ざる|ねば|しめ",
@@ -46,11 +48,11 @@ GODAN_KANA = {x for row in GODAN.values() for x in (row.u, row.a, row.i, row.e,
 USUAL_ROWS = {"GODAN_KA": 0.0, "GODAN_GA": 0.0, "GODAN_RA": 0.0, "GODAN_MA": 0.0, "GODAN_WA": 0.01, "GODAN_BA": 0.01}
 SURE_ICHIDAN = "べめけれえねげぜせてへ"
 STEM_AFTER_KANJI = re.compile(f"[{K}]{{1,3}}")
-JOINED = re.compile(f"[{K}]{{1,2}}[いきぎしじちびみりえけげせぜてねべめれん]?(?:" + "|".join(sorted({v[0] for v in SECOND_VERBS.split() if KANJI.match(v)})) + f")|[{K}]っ[{K}]")
+JOINED = re.compile(f"[{K}]{{1,2}}[いきぎしじちびみりえけげせぜてねべめれん](?:" + "|".join(sorted({v[0] for v in SECOND_VERBS.split() if KANJI.match(v)})) + f")|[{K}]っ[{K}]")
 GODAN_BASES = [row.u for row in GODAN.values()]
 SECOND = set(SECOND_VERBS.split())
 SURU_STEM = re.compile(f"[{K}]{{2}}し")
-FIRST_VERB = re.compile(f"[{K}]{{1,2}}[いきぎしじちびみりえけげせぜてねべめれ]|[{H}]{{1,2}}[いきぎしちびみりけげせねべめれ]")
+FIRST_VERB = re.compile(f"[{K}]{{1,2}}[いきぎしじちびみりえけげせぜねべめれ]|[{H}]{{1,2}}[いきぎしちびみりけげせねべめれ]")
 HIRAGANA_START = re.compile(f"[{H}]+")
 
 
@@ -60,7 +62,7 @@ def forms(s: str, head: int, at: int, known: Callable[[str], bool], base_cost: f
     several = head - at > 1
     for mid in range(min(most_inner, len(s) - head) + 1):
         inner = s[head : head + mid]
-        if inner and (not HIRAGANA_START.fullmatch(inner) or any(c in "をっんーゃゅょ" for c in inner) or inner.startswith("すぎ") or "や" in inner[1:]):
+        if inner and (not HIRAGANA_START.fullmatch(inner) or any(c in "をっんーゃゅょ" for c in inner) or inner.startswith(("すぎ", "くな")) or "や" in inner[1:]):
             break
         stem, place = s[at : head + mid], head + mid
         last, end_kana = s[place : place + 1], inner[-1:]
@@ -110,7 +112,7 @@ def forms(s: str, head: int, at: int, known: Callable[[str], bool], base_cost: f
             continue
         cost = 0.3 if sure else base_cost + risk - (0.2 if mid else 0.0) + (0.0 if bare or end_kana in SURE_ICHIDAN else 0.25)
         if after("ichidan", place):
-            yield Candidate(place, "VERB_連用", cost, lemma)
+            yield Candidate(place, "VERB_連用", cost + 0.9 * (end_kana == "み" and not sure and s.startswith("たい", place)), lemma)
         elif mid and after("end", place) and (sure or end_kana in SURE_ICHIDAN):
             yield Candidate(place, "VERB_連用", cost + 0.4, lemma)
         if last == "る" and end_kana == "て":
@@ -148,11 +150,11 @@ PREFIXED_TIME = re.compile(f"[今来先昨翌毎][{K}](?![{K}])")
 def joined_kana(s: str, at: int, first: re.Match, known: Callable[[str], bool]) -> Iterator[Candidate]:
     """A known verb's stem, `first`, and a second verb that is written in kana."""
     kana = first[0][-1]
-    if not any(known(first[0][:-1] + row.u) for row in GODAN.values() if row.i == kana) and not known(first[0] + "る"):
-        return
+    sure = KANJI.match(first[0])  # after kana, or before a reading that ends other words too, the first verb must be known
+    known_first = any(known(first[0][:-1] + row.u) for row in GODAN.values() if row.i == kana) or known(first[0] + "る")
     for reading in SECOND_READINGS.split():
         stem = reading[:-1]
-        if s.startswith(stem, first.end()):
+        if s.startswith(stem, first.end()) and (known_first or (sure and len(reading) > 2)):
             for c in forms(s, first.end() + max(1, len(stem)), at, known, 0.3, 1):
                 if c.lemma == first[0] + reading:
                     yield c._replace(cost=c.cost - 0.3)
@@ -173,14 +175,15 @@ def candidates(s: str, at: int, kind: str, known: Callable[[str], bool], join: b
     """All candidates that begin at `at`, whose character is of class `kind`; known: whether a dictionary form is in a dictionary."""
     if kind == "KANJI":
         run = STEM_AFTER_KANJI.match(s, at)
-        if run and not KANJI.match(s[run.end() : run.end() + 1] or " "):
+        if run and run[0] not in ASKED_OR_NAMED and not KANJI.match(s[run.end() : run.end() + 1] or " "):
             head = run.end()
             known_end = head - at > 1 and any(known(s[head - 1 : head + n] + u) for n in (0, 1) for u in GODAN_BASES)
             yield from forms(s, head, at, known, 0.6 + (0.0, 0.4, 1.4)[head - at - 1] + 1.0 * known_end)
         if join:
             m = JOINED.match(s, at)
             if m and m.end() - at > 1:
-                for c in forms(s, m.end(), at, known, 0.3):
+                joining = lambda w: known(w) or any(w.endswith(v) for v in SECOND)
+                for c in forms(s, m.end(), at, joining, 0.3) if not (m[0][1] == "し" and at and KANJI.match(s[at - 1])) else ():
                     if not SURU_STEM.match(m[0]) and ("っ" in m[0] or any(c.lemma.endswith(v) for v in SECOND)):
                         yield c._replace(cost=c.cost - 0.3)
             m = FIRST_VERB.match(s, at)
