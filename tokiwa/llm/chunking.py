@@ -171,7 +171,7 @@ def compare(docs: DataFrame, how: Chunking = Chunking()) -> DataFrame:
     fingerprint is the set of the text's distinct chunks, each a digest and a length; the likeness of x to y is the part
     of x's length whose chunks y has as well. The follower of a row is the next in order of doc_id (nulls first; rows of
     one doc_id in order of the text's XXH64, then of the text), that of the last row the first. A null text is empty: its fingerprint is the empty
-    string, 1 like another empty one and 0 like any other. A single row follows itself; an empty table gives none.
+    string, 1 like another empty one and 0 like any other. A text of any length is fingerprinted whole; a worker holds two. A single row follows itself; an empty table gives none.
     """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

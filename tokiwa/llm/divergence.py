@@ -133,7 +133,9 @@ def judge(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     word_distance: the Jensen-Shannon distances (0 to 1) of the row's character classes and common words (with one bin
     for all other words) from those of all rows of its language, null lang being a language of its own. kept: base rules
     passed, and each distance within its limit, which for words rises as a text gets shorter. A null or empty text has no
-    words and fails the base rules; its distances are null. Repeated rows and null doc_ids are judged like others.
+    words and fails the base rules; its distances are null. A text of any length is judged whole, from its row's arrays.
+    Repeated rows and null doc_ids are judged like others; columns of docs with clashing names don't matter, as only three
+    are read; an empty table gives an empty result.
     """
     rows = cut(features(docs), "quality-features")
     refs = cut(references(rows), "quality-references")  # a row for each language; Spark broadcasts it while it is small

@@ -49,7 +49,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float
     that clash with `copy` or `shuffle_key` in whatever case are replaced), copy (from 1) and shuffle_key; rows are dealt
     out by shuffle_key and sorted by it within partitions. A null source is a source of its own; a null doc_id hashes as
     the word null; rows equal in doc_id and text get as many copies each; a null or empty text adds nothing to its source's
-    size but is replicated like the rest; an empty table gives an empty result. No source's rows are ever gathered: a hot source meets
+    size but is replicated like the rest; a text of any length is only hashed and carried; an empty table gives an empty result. No source's rows are ever gathered: a hot source meets
     its rate in a join whose other side has a row per source (broadcast only while Spark finds it small, else a
     sort-merge join with skewed partitions split).
     """

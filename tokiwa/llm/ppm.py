@@ -423,7 +423,7 @@ def score(docs: DataFrame, held_out: Column | None = None, order: int = 5, block
     lowered, by the unigram model of words and by the byte model, each with the end of the text. A null text is empty: its
     end alone is scored. Repeated rows are learnt from as often as they come and each scored; with no training rows bytes
     are uniform; an empty table gives an empty result. order is 2 to 6. A block's rows are streamed, and a long text is
-    taken in pieces, so that a worker holds a block's distinct n-grams and one batch of texts, however many rows repeat.
+    taken in pieces, its n-grams all counted, so that a worker holds a block's distinct n-grams and one batch of texts, however many rows repeat.
     """
     if not 2 <= order <= 6:
         raise ValueError(f"order is 2 to 6, not {order}")

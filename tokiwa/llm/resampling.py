@@ -112,7 +112,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, settings:
     every run. labels (doc_id, quality 0 or 1): good rows make the target model. k: by default the number of rows times
     the share of good ones among the labelled. Returns doc_id, log_weight and key of the sample. A null, empty or wordless
     text has weight 1 (log 0); repeated rows are counted and may be sampled as often as they come; a null doc_id draws
-    like the word null. Without labels of good quality all rows weigh alike, and k is all; an empty table gives none.
+    like the word null; a text of any length is weighed whole. Without labels of good quality all rows weigh alike, and k is all; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ratios = log_ratios(targeted(docs, labels, settings), settings)

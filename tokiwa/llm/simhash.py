@@ -89,7 +89,8 @@ def classes(docs: DataFrame, width: int = 3, hot: int = 32) -> DataFrame:
 
     A row for every row of docs; class_fp, a fingerprint, names the class even where no row of it has a doc_id. Fingerprints within RADIUS bits are linked; component_id is the least doc_id among the
     rows whose fingerprints can be reached (null only if all of those are null). Null or empty texts, and texts of blanks,
-    have fingerprint 0 and are linked like any other; repeated rows share a class; an empty table gives an empty result.
+    have fingerprint 0 and are linked like any other; a text of any length is hashed whole, its bits summed in runs of
+    shingles; repeated rows share a class; an empty table gives an empty result.
     Equal fingerprints are one node, so a group of copies of any size costs one row beyond its own.
     """
     rows = cut(fingerprints(docs, width), "fingerprints")
