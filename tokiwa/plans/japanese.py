@@ -6,6 +6,8 @@ otherwise it is a list of what is expected (a golden check).
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -567,6 +569,44 @@ def lattice_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("start").agg(F.count("*").alias("n"), F.count_if("known").alias("n_known"), F.max("end").alias("furthest"))
 
 
+@query
+def candidates_by_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest candidates of a short text in their order, and whether all of them lead from its start to its end."""
+    found = spark.createDataFrame([("本を読んだ",)], "text string").withColumn("e", analyze.explained(by_cost=True)("text"))
+    reach = F.concat_ws("-", F.array_min(F.transform("e", lambda x: x["start"])), F.array_max(F.transform("e", lambda x: x["end"]))).alias("reach")
+    rows = found.select(reach, F.inline(F.slice("e", 1, 6)))
+    return rows.select("edge_id", "surface", "extended_pos", F.round(F.col("cost").cast("double"), 3).alias("cost"), "reach")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name in the folder that driver and executors share; in one of this machine's where that is unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(folder or tempfile.mkdtemp(prefix='tokiwa-')).rstrip('/')}/samples-{uuid.uuid4().hex}"
+
+
+@query
+def files_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts, dictionaries as a table and as lines, and golden cases, written and read again."""
+    folder = scratch(spark)
+    text_lines = lambda given, name: spark.createDataFrame([(v,) for v in given], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    text_lines(("一行目です。", "二行目 line two", ""), "whole")
+    whole = readers.whole_texts(spark, f"{folder}/whole").select(F.lit("whole").alias("what"), F.lit("text").alias("key"), F.col("text").alias("value"))
+    text_lines(samples.COMPILED_LINES, "lines")
+    read = readers.dictionary_tsv(spark, f"{folder}/lines")
+    writers.write_dictionary(dictionary.compiled(read), f"{folder}/table")
+    table = spark.read.parquet(f"{folder}/table")
+    engine = analyze.Engine().with_dictionaries(spark, [f"{folder}/none", f"{folder}/table"])
+    by_pos = table.groupBy("pos").agg(F.count("*").alias("n")).select(F.lit("table").alias("what"), F.col("pos").alias("key"), F.col("n").cast("string").alias("value"))
+    found = spark.createDataFrame([("優木は静かに本を書いた",)], "text string").select(F.lit("engine").alias("what"), F.lit(str(len(engine.warnings))).alias("key"), F.array_join(F.transform(engine.analyze(F.col("text")), lambda m: m["surface"]), "/").alias("value"))
+    writers.write_dictionary_tsv(read, f"{folder}/again")
+    again = spark.read.text(f"{folder}/again").select(F.lit("again").alias("what"), F.substring_index("value", "\t", 1).alias("key"), F.replace("value", F.lit("\t"), F.lit("/")).alias("value"))
+    text_lines((samples.GOLDEN_JSON,), "golden")
+    cases = readers.golden_cases(spark, f"{folder}/golden").groupBy("id").agg(F.count("*").alias("n")).select(F.lit("golden").alias("what"), F.col("id").alias("key"), F.col("n").cast("string").alias("value"))
+    return whole.unionByName(by_pos).unionByName(found).unionByName(again).unionByName(cases)
+
+
 @query
 def sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text form of the samples' morphemes."""

@@ -907,6 +907,39 @@ tsv|本\tNOUN\t本\t4\t5
 tsv|東京\tNOUN\t東京\t2\t4
 tsv|私\tPRON\t私\t0\t1
 tsv|読む\tVERB\t読む\t6\t8
+"""),
+    "files_read_back": ("what VARCHAR, key VARCHAR, value VARCHAR", r"""
+again|ありがとう|ありがとう/OTHER/INTERJECTION
+again|いい|いい/ADJ/I_ADJ
+again|ゆっくり|ゆっくり/ADV
+again|優木|優木/NOUN/FAMILY
+again|書き|書き/NOUN
+again|書く|書く/VERB/GODAN_KA
+again|本|本/NOUN
+again|来る|来る/VERB/KURU
+again|静か|静か/ADJ/NA_ADJ
+again|食べる|食べる/VERB
+again|高い|高い/ADJ/I_ADJ
+engine|1|優木/は/静か/に/本/を/書い/た
+golden|a1|3
+golden|a2|2
+golden|a3|2
+golden|a5|1
+golden|a6|2
+table|ADJ|11
+table|ADV|1
+table|NOUN|3
+table|OTHER|1
+table|VERB|22
+whole|text|一行目です。\n二行目 line two
+"""),
+    "candidates_by_cost": ("edge_id INTEGER, surface VARCHAR, extended_pos VARCHAR, cost DOUBLE, reach VARCHAR", r"""
+0|を|PART_格|0.2|0-5
+1|ん|PART_準体|0.2|0-5
+2|だ|AUX_断定|0.2|0-5
+3|だ|AUX_過去|0.2|0-5
+4|ん|AUX_否定古|0.4|0-5
+5|読ん|VERB_音便|0.6|0-5
 """),
 }
 
