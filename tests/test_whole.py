@@ -11,7 +11,7 @@ from tokiwa.plans import registry
 
 TEXTS = {
     1: "the stone of the river, thing 12 by 3.14", 2: "私は東京の学生です。API開発を3時間", 3: "the key is 0123456789abcdef0123456789abcdef01234567 over", 4: "a" * 21 + " and the eau", 5: "12_34 the 5_6 thing",
-    6: "ＡＢＣ the ｶﾞ 3億 500 個", 7: "the stone of a river and 50% of it! " * 1200, 8: "", 9: None, 10: "the " + "x_" * 20 + "y stone",
+    6: "ＡＢＣ the ｶﾞ 3億 500 個", 7: "the stone of a river and 50% of it! " * 1200, 8: "", 9: None, 11: "a long line without an end " * 1500, 12: "see http://a.b/c?d=e! " * 2000, 13: "3.5 mails to x@y.org? " * 2000, 10: "the " + "x_" * 20 + "y stone",
 }
 ITEMS = {1: "the stone and the river", 2: "東京のAPI開発", 3: "0123456789abcdef0123456789abcdef01234567", 4: "nothing_else"}
 

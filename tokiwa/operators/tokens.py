@@ -2,8 +2,8 @@
 
 For such texts the cheapest segmentation is known: inside each span between lexical tokens, a maximal run of ASCII letters
 and digits is one noun, an identifier with inner underscores and a letter too, and everything else is a symbol, which is
-dropped. Runs longer than the caps, texts with kana or kanji, and texts longer than a chunk need the lattice (see
-`tokiwa.operators.lattice`); `closed_form` says which rows those are not.
+dropped. Runs longer than the caps, texts with kana or kanji, and texts longer than a chunk that may be cut within a token
+need the lattice (see `tokiwa.operators.lattice`); `closed_form` says which rows those are not.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ def closed_form(text: Column) -> Column:
     some_odd = text.rlike(r"[\x{2F00}-\x{10FFFF}]") & text.rlike(f"[{odd}]")
     some_long = text.rlike(f"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_LETTERS + 1}}}") & text.rlike(long)
     parted = text.contains("_") & text.rlike("[0-9]_[0-9]")
-    return (F.octet_length(text) <= CHUNK_BYTES) & ~some_odd & ~some_long & ~parted
+    # a longer text is cut at the ends of sentences, which no token spans but a URL or a hashtag
+    cut_well = ~text.contains("://") & ~text.rlike("[#＃]") & ~text.rlike(f"[^\n!?。！？]{{{CHUNK_BYTES // 4}}}")
+    return ((F.octet_length(text) <= CHUNK_BYTES) | cut_well) & ~some_odd & ~some_long & ~parted
 
 
 def latin_surfaces(text: Column) -> Column:
