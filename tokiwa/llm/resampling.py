@@ -24,7 +24,7 @@ class Settings:
     """most_sent: more good doc_ids than that meet the texts in a sort-merge join instead of going to every worker."""
 
     buckets: int = 10_000
-    most_sent: int = 2_000_000
+    most_sent: int = 1_000_000
     smoothing: float = 1.0
     seed: str = "resample"
 
