@@ -157,6 +157,7 @@ def normalized(raw: str, options: Options) -> str:
 
 def run_cost(kind: str, n: int) -> float:
     """The cost of a run of n characters of one class."""
+    # All numbers below.
     if kind == "KANJI":
         return 1.4 if n == 1 else 1.0
     if kind == "KATAKANA":
@@ -281,7 +282,7 @@ class Analyzer:
                 stop += 1
                 word = s[end:stop]
                 if all(c in COUNTERS for c in word):
-                    add = (1.5 if word == "対" else -0.2, -0.2, 0.5)[len(word) - 1]
+                    add = (-0.2, -0.2, 0.5)[len(word) - 1]
                 elif word[0] in COUNTERS and word in self.entries:
                     add = -0.8
                 else:

@@ -970,6 +970,7 @@ def listed(text: str, sep: str, a: str, b: str) -> str:
     return f"(VALUES {', '.join(f'({quoted(x)}, {quoted(y)})' for x, y in (line.split(sep) for line in text.strip().splitlines()))}) AS t({a}, {b})"
 
 
+# Kana by half width, row and use, kanji that count, rows and forms of verbs, endings, code points.
 HALF = "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン"
 ROWS_OF = {"a": "あかがさざただなはばぱまやらわ", "i": "いきぎしじちぢにひびぴみり", "u": "うくぐすずつづぬふぶぷむゆる", "e": "えけげせぜてでねへべぺめれ", "o": "おこごそぞとどのほぼぽもよろを"}
 FLAGS = {"common_particle": "をがはにへの", "extended_particle": "をがはにへのかねよわでとも", "never_verb": "をがはにへのもや", "never_first": "をがへのよ", "never_adjective": "をがはにへのもやてで", "small": "ょゃゅぁぃぅぇぉっ"}

@@ -10,6 +10,7 @@ def count_class(body: str) -> str:
     return f"length(text) - length(regexp_replace(text, '[{body}]', '', 'g'))"
 
 
+# Code point ranges of the character classes.
 KATAKANA, HIRAGANA, KANJI = r"\x{30A0}-\x{30FF}\x{31F0}-\x{31FF}\x{FF66}-\x{FF9F}", r"\x{3040}-\x{309F}", r"\x{3005}\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{F900}-\x{FAFF}\x{2F00}-\x{2FDF}"
 ALPHABET, DIGIT = r"A-Za-z\x{FF21}-\x{FF3A}\x{FF41}-\x{FF5A}", r"0-9\x{FF10}-\x{FF19}"
 SYMBOL = r"\x{3000}-\x{3004}\x{3006}-\x{303F}\x{FF00}-\x{FF0F}\x{20}-\x{2F}\x{3A}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7E}"
