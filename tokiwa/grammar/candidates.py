@@ -144,6 +144,10 @@ LONG_DRAWN = re.compile("[っッー〜～ぁぃぅぇぉァィゥェォ]+")
 SPEECH = re.compile("(?:にゃ|にゅ|ぴょ|ぽよ|だぞ|ずら|だす|だに|ちゅ|っぴ|んす|やん)[ぁ-ゟー]{0,2}(?=$|[。！？!?])")
 LONG_ADJECTIVE = re.compile(f"[ぁ-ゟ]{{1,4}}ー+い|[ぁ-ゟ]{{1,4}}いー+")
 PLACE = re.compile(f"[{K}]{{2,3}}[県都府道市区町村](?=[{K}])|[{K}]{{2,3}}[市区町村](?![{K}])")
+# Kanji that come before a noun and make one with it.
+PREFIX_KANJI = "不未非無超再準副総各両全最半"
+PREFIXED = re.compile(f"[{PREFIX_KANJI}][{K}]{{2,4}}(?![{K}])")
+NICKNAME = re.compile(f"[{H}]{{2,4}}?(?=ちゃん|くん)")
 PREFIXED_TIME = re.compile(f"[今来先昨翌毎][{K}](?![{K}])")
 
 
@@ -195,7 +199,7 @@ def candidates(s: str, at: int, kind: str, known: Callable[[str], bool], join: b
         m = ADJECTIVE.match(s, at)
         if m:
             yield from adjectives(m, known, 0.55)
-        for pattern, category, cost in ((NA_ADJECTIVE, "ADJ_NA", 0.6), (TARU, "ADV", 0.3), (TSU, "NOUN", 0.3), (PREFIXED_TIME, "NOUN", 0.5), (PLACE, "NOUN", 0.3)):
+        for pattern, category, cost in ((NA_ADJECTIVE, "ADJ_NA", 0.6), (TARU, "ADV", 0.3), (TSU, "NOUN", 0.3), (PREFIXED_TIME, "NOUN", 0.5), (PLACE, "NOUN", 0.3), (PREFIXED, "NOUN", 0.6)):
             m = pattern.match(s, at)
             if m:
                 yield Candidate(m.end(), category, cost, m[0])
@@ -231,6 +235,9 @@ def candidates(s: str, at: int, kind: str, known: Callable[[str], bool], join: b
             m = pattern.match(s, at)
             if m:
                 yield Candidate(m.end(), "ADV", cost, m[0])
+        m = NICKNAME.match(s, at) if kind == "HIRAGANA" and not (at and HIRAGANA_START.match(s[at - 1])) else None
+        if m:
+            yield Candidate(m.end(), "NOUN", 0.9, m[0])
         m = SPEECH.match(s, at)
         if m:
             yield Candidate(m.end(), "UNKNOWN", 0.6, m[0])
