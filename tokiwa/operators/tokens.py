@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokiwa.functions.pretokens import KINDS, STRING_ARRAY, TELLING, pieces, stretches
@@ -127,11 +127,16 @@ def tags(morphemes: Column, options: TagOptions = TagOptions()) -> Column:
     return F.slice(found, 1, options.max_tags) if options.max_tags else found
 
 
-def tag_rows(tokens: DataFrame, key: str = "doc_id", min_length: int = 2, max_tags: int = 0) -> DataFrame:
-    """(key, tag, tag_rank) from token rows: each tag once a document, at its first place, in order of that place.
+def tag_rows(arrays: DataFrame, key: str = "doc_id", min_length: int = 2, max_tags: int = 0) -> DataFrame:
+    """(key, tag, tag_rank) from rows (key, morphemes): each tag once a document, in order of its first place.
 
-    The first place is a minimum, combined before the shuffle; the ranking window sorts one document's distinct tags.
+    All inside the row, so nothing is shuffled: array_distinct keeps the first of equals.
     """
-    first = tokens.where(F.length("surface") >= min_length).groupBy(key, F.col("surface").alias("tag")).agg(F.min("token_index").alias("first"))
-    ranked = first.withColumn("tag_rank", F.row_number().over(Window.partitionBy(key).orderBy("first")))
-    return (ranked.where(F.col("tag_rank") <= max_tags) if max_tags else ranked).select(key, "tag", "tag_rank")
+    found = distinct_surfaces(F.col("morphemes"), min_length)
+    rows = arrays.select(key, F.posexplode_outer(F.slice(found, 1, max_tags) if max_tags else found).alias("_place", "tag"))
+    return rows.where(F.col("_place").isNotNull()).select(key, "tag", (F.col("_place") + 1).alias("tag_rank"))
+
+
+def distinct_surfaces(morphemes: Column, min_length: int = 2) -> Column:
+    """The distinct surfaces of an array of morphemes, of at least `min_length` characters, in order of their first place."""
+    return F.array_distinct(F.filter(F.transform(morphemes, lambda m: m["surface"]), lambda s: F.length(s) >= min_length))

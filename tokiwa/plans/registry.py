@@ -136,7 +136,7 @@ def token_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tags_noun_min2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.tag_rows(corpus_tokens(spark, sf_dir))
+    return tokens.tag_rows(analyze.arrays(documents(spark, sf_dir)))
 
 
 @query
@@ -165,7 +165,7 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text as a query; ties by doc_id."""
     asked = analyze.morphemes(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
-    docs = analyze.arrays(documents(spark, sf_dir)).select("doc_id", index.distinct_tags(F.col("morphemes")).alias("tags"))
+    docs = analyze.arrays(documents(spark, sf_dir)).select("doc_id", tokens.distinct_surfaces(F.col("morphemes")).alias("tags"))
     return index.search(asked, docs, top=10)
 
 
