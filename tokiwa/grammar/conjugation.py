@@ -98,11 +98,6 @@ CONNECTIONS = {
 INFINITE = 32767
 
 
-def connection_cost(left: str, right: str) -> int:
-    """The cost of right after left; INFINITE if it can't follow."""
-    return CONNECTIONS.get((left, right), INFINITE)
-
-
 def detect_type(base: str) -> str:
     """The type that a dictionary form's ending suggests; UNKNOWN if none."""
     if base.endswith("する"):

@@ -48,11 +48,3 @@ def visible(rows: DataFrame, remove_symbols: bool = True, least_bytes: int = 1)
     """Without symbols, and without surfaces of fewer bytes; the last rewrite, so that symbols still part compounds."""
     out = rows.where(F.col("pos") != "SYMBOL") if remove_symbols else rows
     return out.where(F.octet_length("surface") >= least_bytes)
-
-
-def renamed(with_user: DataFrame, without: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Tokens that only one of two analyses has: (key, token_index, surface, side)."""
-    cols = [key, "token_index", "surface"]
-    a, b = with_user.select(*cols, F.lit(1).alias("_a")), without.select(*cols, F.lit(1).alias("_b"))
-    both = a.join(b, cols, "full_outer").where("_a is null or _b is null")
-    return both.select(*cols, F.when(F.col("_b").isNull(), "with").otherwise("without").alias("side"))

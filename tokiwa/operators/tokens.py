@@ -60,11 +60,6 @@ def latin_surfaces(text: Column) -> Column:
     return F.flatten(F.transform(stretches(text, "[ \n。]"), lambda s: F.when(s.rlike(TELLING), searched(s)).otherwise(F.regexp_extract_all(s, F.lit(RUN), 0))))
 
 
-def token_rows(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, token_index, surface) of the rows of docs that the closed form covers."""
-    return docs.where(closed_form(F.col(text))).select(key, F.posexplode(latin_surfaces(F.col(text))).alias("token_index", "surface"))
-
-
 # The bits of pos_filter by name, and the parts of speech that each lets through.
 POS_BITS = {"noun": 1, "verb": 2, "adjective": 4, "adverb": 8}
 BIT_POS = {1: ("NOUN", "PRON"), 2: ("VERB",), 4: ("ADJ",), 8: ("ADV",)}
