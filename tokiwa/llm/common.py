@@ -80,12 +80,6 @@ def remainder(doc_id: Column, parts: int) -> Column:
     return F.crc32(doc_id.cast("string")) % parts
 
 
-def blocks_for(df: DataFrame, size: Column, block: int) -> int:
-    """How many blocks of about `block` units of size the rows make."""
-    total = df.agg(F.sum(size)).first()[0] or 0
-    return max(1, -(-int(total) // block))
-
-
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) of the nodes in edges (a, b), component the smallest node reachable.
 
