@@ -225,20 +225,30 @@ def from_options(given: dict) -> Engine:
     return Engine(options, tokens.TagOptions(use_lemma=given.get("useLemma", True), min_tag_length=given.get("minLength", 2), max_tags=given.get("maxTags", 0), exclude_basic=given.get("excludeBasic", False), pos_filter=bits))
 
 
-def arrays(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, morphemes), an array of surface and pos for each row: the JVM's closed form where it holds, else the lattice.
+def _parted(docs: DataFrame, entries: list[lattice.Entry], options: lattice.Options, text: str, key: str, slow: Callable[[Column], Column], fast: Callable[[Column], Column], name: str) -> DataFrame:
+    """(key, name): `fast` of the texts that the closed form covers and `slow`, an Arrow UDF, of the others.
 
-    Every row passes the Arrow UDF, those of the closed form as null, so nothing is shuffled and streams can have it too.
-    The closed form holds with any dictionary whose words all have kana or kanji; else, and in a mode other than normal,
-    every row goes to the lattice. A null text has no morphemes (null).
+    Every row passes the UDF, those of the closed form as null, so nothing is shuffled and streams can have it too. The
+    closed form holds with any dictionary whose words all have kana or kanji; else, and in a mode other than normal, every
+    row is slow. A null text gives null.
     """
-    run = _pairs(entries, options)
-    if options != lattice.Options() or not all(lattice.NOT_CLOSED.search(e.surface) for e in entries):
-        return docs.select(key, run(F.col(text)).alias("morphemes"))
-    noun = lambda s: F.struct(s.alias("surface"), F.lit("NOUN").alias("pos"))
+    if options != lattice.Options() or not all(lattice.ODD.search(e.surface) for e in entries):
+        return docs.select(key, slow(F.col(text)).alias(name))
     rows = docs.select(key, F.col(text).alias("_text"), F.coalesce(tokens.closed_form(F.col(text)), F.lit(False)).alias("_closed"))
-    slow = rows.withColumn("_slow", run(F.when(~F.col("_closed"), F.col("_text"))))
-    return slow.select(key, F.when(F.col("_closed"), F.transform(tokens.latin_surfaces(F.col("_text")), noun)).otherwise(F.col("_slow")).alias("morphemes"))
+    both = rows.withColumn("_slow", slow(F.when(~F.col("_closed"), F.col("_text"))))
+    return both.select(key, F.when(F.col("_closed"), fast(F.col("_text"))).otherwise(F.col("_slow")).alias(name))
+
+
+def arrays(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, morphemes), an array of surface and pos for each row: the JVM's closed form where it holds, else the lattice."""
+    noun = lambda s: F.struct(s.alias("surface"), F.lit("NOUN").alias("pos"))
+    return _parted(docs, entries, options, text, key, _pairs(entries, options), lambda t: F.transform(tokens.latin_surfaces(t), noun), "morphemes")
+
+
+def surfaces(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, surfaces): as `arrays`, of surfaces alone."""
+    slow = lambda t: F.transform(_pairs(entries, options)(t), lambda m: m["surface"])
+    return _parted(docs, entries, options, text, key, slow, tokens.latin_surfaces, "surfaces")
 
 
 def morphemes(docs: DataFrame, entries: list[lattice.Entry] = (), options: lattice.Options = lattice.Options(), text: str = "text", key: str = "doc_id") -> DataFrame:

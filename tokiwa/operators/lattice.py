@@ -48,8 +48,11 @@ STEP, FALLBACK, BEYOND_DICTIONARY = 0.001, 5.0, 3.5
 CHUNK_BYTES = 32_768
 BREAKS = re.compile("[\n!?。！？]")
 PRETOKENS = re.compile("|".join(f"(?P<{k}>{p})" for k, p in pretokens.KINDS.items()))
-#: What the closed form of `tokiwa.operators.tokens` doesn't cover, and the nouns or symbols of a span that it does.
-NOT_CLOSED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for k in ("HIRAGANA", "KATAKANA", "KANJI") for a, b in text.CLASS_RANGES[k]) + "０-９Ａ-Ｚａ-ｚ]|[A-Za-z]{21}|[A-Za-z0-9_]{25}|[0-9]_[0-9]")
+ODD_CLASS = "".join(f"{chr(a)}-{chr(b)}" for k in ("HIRAGANA", "KATAKANA", "KANJI") for a, b in text.CLASS_RANGES[k]) + "０-９Ａ-Ｚａ-ｚ"
+#: What the closed form of `tokiwa.operators.tokens` doesn't cover: characters, and runs of letters, digits and underscores;
+#: and the nouns or symbols of a span that it does.
+ODD, LONG_RUN = re.compile(f"[{ODD_CLASS}]"), re.compile("[A-Za-z]{21}|[A-Za-z0-9_]{25}|[0-9]_[0-9]")
+CLOSED = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for k in ("HIRAGANA", "KATAKANA", "KANJI") for a, b in text.CLASS_RANGES[k]) + "０-９Ａ-Ｚａ-ｚ]|[A-Za-z]{21}|[A-Za-z0-9_]{25}|[0-9]_[0-9]")
 CLOSED = re.compile("([A-Za-z0-9]+(?:_[A-Za-z0-9]+)*)|[^A-Za-z0-9]+")
 DIGITS = str.maketrans(text.wide(text.ASCII_DIGITS), text.ASCII_DIGITS)
 
@@ -195,7 +198,7 @@ class Analyzer:
         self.rules = categories.surface_rules()
         self.met: dict[tuple[str, str, str, str], float] = {}
         #: Whether no entry can stand in a span of the closed form, so that spans that it covers needn't be searched.
-        self.plain = options.preserve_case and all(NOT_CLOSED.search(w) for w in self.entries)
+        self.plain = options.preserve_case and all(ODD.search(w) for w in self.entries)
 
     def word_cost(self, e: Entry) -> float:
         contracted = 1.0 if e.extended_pos == "VERB_未然" and e.surface[-1] in "ぬん" and len(e.surface) > 1 else 0.0  # 書かぬ is 書か and ぬ
@@ -361,10 +364,21 @@ class Analyzer:
         return out[::-1]
 
     def segmented(self, s: str) -> list[Edge]:
-        """The cheapest path over a span; where its closed form is known, nouns as there and all between them one symbol."""
-        if self.plain and not NOT_CLOSED.search(s):
-            return [Edge(m.start(), m.end(), m[0], kind, 0.0, extended_pos=kind) for m in CLOSED.finditer(s) for kind in ("NOUN" if m[1] else "SYMBOL",)]
-        return self.path(normalized(s, self.options))
+        """The cheapest path over a span; where its closed form is known, nouns as there and all between them one symbol.
+
+        In a span without odd characters only an over-long run needs a search, of its own: no candidate reaches beyond it,
+        and before and after it stands a symbol or nothing.
+        """
+        if not self.plain or ODD.search(s):
+            return self.path(normalized(s, self.options))
+        out = []
+        for m in CLOSED.finditer(s):
+            if m[1] and LONG_RUN.search(m[0]):
+                out += [replace(e, start=e.start + m.start(), end=e.end + m.start()) for e in self.path(m[0])]
+            else:
+                kind = "NOUN" if m[1] else "SYMBOL"
+                out.append(Edge(m.start(), m.end(), m[0], kind, 0.0, extended_pos=kind))
+        return out
 
     # whole texts
 

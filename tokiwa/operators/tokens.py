@@ -122,16 +122,16 @@ def tags(morphemes: Column, options: TagOptions = TagOptions()) -> Column:
     return F.slice(found, 1, options.max_tags) if options.max_tags else found
 
 
-def tag_rows(arrays: DataFrame, key: str = "doc_id", min_length: int = 2, max_tags: int = 0) -> DataFrame:
-    """(key, tag, tag_rank) from rows (key, morphemes): each tag once a document, in order of its first place.
+def tag_rows(docs: DataFrame, key: str = "doc_id", min_length: int = 2, max_tags: int = 0) -> DataFrame:
+    """(key, tag, tag_rank) from rows (key, surfaces): each tag once a document, in order of its first place.
 
     All inside the row, so nothing is shuffled: array_distinct keeps the first of equals.
     """
-    found = distinct_surfaces(F.col("morphemes"), min_length)
-    rows = arrays.select(key, F.posexplode_outer(F.slice(found, 1, max_tags) if max_tags else found).alias("_place", "tag"))
+    found = distinct_surfaces(F.col("surfaces"), min_length)
+    rows = docs.select(key, F.posexplode_outer(F.slice(found, 1, max_tags) if max_tags else found).alias("_place", "tag"))
     return rows.where(F.col("_place").isNotNull()).select(key, "tag", (F.col("_place") + 1).alias("tag_rank"))
 
 
-def distinct_surfaces(morphemes: Column, min_length: int = 2) -> Column:
-    """The distinct surfaces of an array of morphemes, of at least `min_length` characters, in order of their first place."""
-    return F.array_distinct(F.filter(F.transform(morphemes, lambda m: m["surface"]), lambda s: F.length(s) >= min_length))
+def distinct_surfaces(surfaces: Column, min_length: int = 2) -> Column:
+    """The distinct ones of an array of surfaces, of at least `min_length` characters, in order of their first place."""
+    return F.array_distinct(F.filter(surfaces, lambda s: F.length(s) >= min_length))

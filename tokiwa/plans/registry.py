@@ -119,7 +119,9 @@ def sentence_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyze.morphemes(documents(spark, sf_dir)).select("doc_id", "token_index", "surface")
+    found = analyze.surfaces(documents(spark, sf_dir))
+    # outer, as Spark infers a filter from the other form, which would make the arrays twice
+    return found.select("doc_id", F.posexplode_outer("surfaces").alias("token_index", "surface")).where(F.col("token_index").isNotNull())
 
 
 @query
@@ -136,7 +138,7 @@ def token_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tags_noun_min2_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.tag_rows(analyze.arrays(documents(spark, sf_dir)))
+    return tokens.tag_rows(analyze.surfaces(documents(spark, sf_dir)))
 
 
 @query
@@ -165,7 +167,7 @@ def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents for each benchmark text as a query; ties by doc_id."""
     asked = analyze.morphemes(table(spark, sf_dir, "benchmark"), key="item_id").where(F.length("surface") >= 2).select(F.col("item_id").alias("query_id"), F.col("surface").alias("tag"))
-    docs = analyze.arrays(documents(spark, sf_dir)).select("doc_id", tokens.distinct_surfaces(F.col("morphemes")).alias("tags"))
+    docs = analyze.surfaces(documents(spark, sf_dir)).select("doc_id", tokens.distinct_surfaces(F.col("surfaces")).alias("tags"))
     return index.search(asked, docs, top=10)
 
 

@@ -13,7 +13,7 @@ def token_counts(stream: DataFrame, time: str = "ts", text: str = "text", window
 
     Rows later than `late` are left out, as Spark's watermark has it.
     """
-    made = analyze.arrays(stream.withWatermark(time, late), text=text, key=time)
-    found = made.select(time, F.explode_outer("morphemes").alias("m")).where(F.col("m").isNotNull()).select(time, F.col("m.surface").alias("surface"))
+    made = analyze.surfaces(stream.withWatermark(time, late), text=text, key=time)
+    found = made.select(time, F.explode_outer("surfaces").alias("surface")).where(F.col("surface").isNotNull())
     spans = F.window(time, window, slide) if slide else F.window(time, window)
     return found.groupBy(spans.alias("span"), "surface").agg(F.count("*").alias("n")).select(F.col("span.start").alias("window_start"), F.col("span.end").alias("window_end"), "surface", "n")
