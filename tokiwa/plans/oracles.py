@@ -40,8 +40,7 @@ SELECT {key}, surface, count(*) AS n FROM (SELECT {key}, unnest(regexp_extract_a
 def token_cte(source: str, key: str, name: str = "tokens") -> str:
     """name(key, token_index, surface) of every row of source, by an own search for runs over the caps.
 
-    Such a run is parted where the sum of its pieces' costs is least, in whole thousandths, the earliest last cut of equals;
-    inside it no other choice plays a part, as only nouns can stand there. Holds for texts without kana and kanji and with
+    Such a run is parted where the sum of its pieces' costs is least, in 32 bits, the earliest last cut of equals; inside it no other choice plays a part, as only nouns can stand there. Holds for texts without kana and kanji and with
     sentences under 32 KiB, as in the driver's tables.
     """
     return rf"""
@@ -53,13 +52,14 @@ def token_cte(source: str, key: str, name: str = "tokens") -> str:
 ), {name}_long AS (SELECT DISTINCT run FROM {name}_runs WHERE regexp_matches(run, '[A-Za-z]{{21}}|[A-Za-z0-9]{{25}}')),
 {name}_spans AS (SELECT run, s, e, substr(run, s + 1, e - s) AS part FROM (SELECT run, s, unnest(range(s + 1, least(s + 24, length(run)) + 1)) AS e FROM (SELECT run, unnest(range(length(run))) AS s FROM {name}_long))),
 {name}_edges AS (
-  SELECT run, s, e, CASE WHEN e - s = 1 THEN 1501 WHEN e - s < 8 THEN 1201 ELSE 901 END AS c FROM {name}_spans WHERE e - s <= 20 AND regexp_matches(part, '^[A-Za-z]+$')
-  UNION ALL SELECT run, s, e, 801 FROM {name}_spans WHERE regexp_matches(part, '^[0-9]+$')
-  UNION ALL SELECT run, s, e, 801 FROM {name}_spans WHERE e = least(s + 24, length(run)) AND regexp_matches(part, '[A-Za-z]') AND regexp_matches(part, '[0-9]')
+  SELECT run, s, e, CASE WHEN e - s = 1 THEN 1.5::FLOAT WHEN e - s < 8 THEN 1.2::FLOAT ELSE 0.9::FLOAT END AS c FROM {name}_spans WHERE e - s <= 20 AND regexp_matches(part, '^[A-Za-z]+$')
+  UNION ALL SELECT run, s, e, 0.8::FLOAT FROM {name}_spans WHERE regexp_matches(part, '^[0-9]+$')
+  UNION ALL SELECT run, s, e, 0.8::FLOAT FROM {name}_spans WHERE e = least(s + 24, length(run)) AND regexp_matches(part, '[A-Za-z]') AND regexp_matches(part, '[0-9]')
 ), {name}_best AS (
-  SELECT run, 0 AS p, [0] AS costs, [0] AS backs FROM {name}_long
-  UNION ALL SELECT b.run, b.p + 1, list_append(any_value(b.costs), min(b.costs[e.s + 1] + e.c)), list_append(any_value(b.backs), arg_min(e.s, (b.costs[e.s + 1] + e.c) * 100000 + e.s))
-  FROM {name}_best b JOIN {name}_edges e ON e.run = b.run AND e.e = b.p + 1 GROUP BY b.run, b.p
+  SELECT run, 0 AS p, [0::FLOAT] AS costs, [0::BIGINT] AS backs FROM {name}_long
+  UNION ALL SELECT run, p + 1, list_append(costs, least.t), list_append(backs, least.s) FROM (
+    SELECT b.run, b.p, any_value(b.costs) AS costs, any_value(b.backs) AS backs, min({{'t': (b.costs[e.s + 1] + e.c) + 0.001::FLOAT, 's': e.s::BIGINT}}) AS least
+    FROM {name}_best b JOIN {name}_edges e ON e.run = b.run AND e.e = b.p + 1 GROUP BY b.run, b.p)
 ), {name}_cuts AS (
   SELECT run, backs, length(run) AS e, backs[length(run) + 1] AS s FROM {name}_best WHERE p = length(run)
   UNION ALL SELECT run, backs, s, backs[s + 1] FROM {name}_cuts WHERE s > 0
