@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokiwa.functions import pretokens
 from tokiwa.grammar import candidates, categories, conjugation, inflection, words
-from tokiwa.operators import analyze, dictionary, lattice
+from tokiwa.operators import analyze, dictionary, lattice, tokens
 from tokiwa.plans import golden, samples
 from tokiwa.sources import readers, writers
 
@@ -166,6 +166,12 @@ def test_time_grows_with_the_length(spark, name, column):
     assert run(40_000) < 12 * run(4_000) + 1
 
 
+def test_the_closed_form_is_judged_fast(spark):
+    """A text of a megabyte without the end of a sentence."""
+    df = spark.createDataFrame([("some words of a text. " * 50_000,)], "text string").select(tokens.closed_form(F.col("text")))
+    assert df.first()[0] is False and seconds(df) < 3
+
+
 def test_prefix_matches_of_a_long_text(spark):
     entries = spark.createDataFrame([("stone", "NOUN", 1), ("to", "PARTICLE", 1)], "surface string, pos string, layer int")
     docs = spark.createDataFrame([(1, "a stone to " * 2000), (2, None), (3, "")], "doc_id int, text string")

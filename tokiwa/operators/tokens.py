@@ -48,7 +48,8 @@ def closed_form(text: Column) -> Column:
     some_long = text.rlike(f"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_LETTERS + 1}}}") & text.rlike(long)
     parted = text.contains("_") & text.rlike("[0-9]_[0-9]")
     # a longer text is cut at the ends of sentences, which no token spans but a URL or a hashtag
-    cut_well = ~text.contains("://") & ~text.rlike("[#＃]") & ~text.rlike(f"[^\n!?。！？]{{{CHUNK_BYTES // 4}}}")
+    long_sentence = f"(?<![^\n!?。！？])[^\n!?。！？]{{{CHUNK_BYTES // 4}}}"  # tried where a sentence begins only
+    cut_well = ~text.contains("://") & ~text.rlike("[#＃]") & ~text.rlike(long_sentence)
     return ((F.octet_length(text) <= CHUNK_BYTES) | cut_well) & ~some_odd & ~some_long & ~parted
 
 
