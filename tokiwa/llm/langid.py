@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import remainder, slices
+from tokiwa.llm.common import remainder, slices, tidy
 
 UNDETERMINED = "und"
 #: Bytes of texts whose words are in memory at once.
@@ -332,6 +332,7 @@ def identify(docs: DataFrame, learn: Column | None = None, settings: Settings =
             named = [model.labels[b] if s > 0 else UNDETERMINED for b, s in zip(best, sums, strict=True)]
             share = np.where(sums > 0, weight[np.arange(n), best] / np.where(sums > 0, sums, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(named, pa.string()), pa.array(np.clip(share, 0.0, 1.0))], names=[*batch.schema.names, "lang_pred", "score"])
+        tidy()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(judge, f"{schema}, lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tokiwa.llm.common import cut, slices
+from tokiwa.llm.common import cut, slices, tidy
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, nth long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("nth", pa.int64())])
@@ -30,7 +30,7 @@ REMEMBERED = 200_000
 #: Words that the tokenizer is asked at a time, and how its ids mark a word's end.
 JOINED, WORD_END = 500, "</w>"
 #: Bytes of texts that are taken apart at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 6 << 20
 
 
 class WordIds:
@@ -109,6 +109,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int)
     """Pieces of at most `capacity` ids: doc_id, piece, start, length, ids_crc32, and nth, their number within the task."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tidy()
         word_ids, end, size, nth = WordIds(tokenizer_path), end_id.to_bytes(4, "little"), 4 * capacity, 0
         for batch in batches:
             for part in slices(batch, 1, AT_ONCE):
