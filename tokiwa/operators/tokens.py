@@ -13,12 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tokiwa.functions.pretokens import KINDS, STRING_ARRAY, TELLING, pieces, stretches
+from tokiwa.functions.pretokens import KINDS, STRING_ARRAY, pieces, stretches
 from tokiwa.functions.text import java_class, only
 
 #: A word, or an identifier: underscores join only where a letter is in the run.
 RUN = "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*"
 CHUNK_BYTES = 32_768
+#: What a stretch with a lexical token that is a noun has: boundaries part no runs, so they needn't be looked for.
+TELLING_NOUN = "[0-9０-９@#＃]|://|\\.[A-Za-z0-9]"
 #: Longest runs of letters and of letters and digits that are surely one token.
 MOST_LETTERS, MOST_MIXED = 20, 24
 
@@ -58,7 +60,7 @@ def latin_surfaces(text: Column) -> Column:
     boundary = f"^{KINDS['boundary']}$"
     piece = lambda x: F.concat(F.regexp_extract_all(x["gap"], F.lit(RUN), 0), F.when(x["hit"].isNull() | x["hit"].rlike(boundary), F.expr(STRING_ARRAY)).otherwise(F.array(x["hit"])))
     searched = lambda s: F.flatten(F.transform(pieces(s), piece))
-    return F.flatten(F.transform(stretches(text, "[ \n。]"), lambda s: F.when(s.rlike(TELLING), searched(s)).otherwise(F.regexp_extract_all(s, F.lit(RUN), 0))))
+    return F.flatten(F.transform(stretches(text, "[ \n。]"), lambda s: F.when(s.rlike(TELLING_NOUN), searched(s)).otherwise(F.regexp_extract_all(s, F.lit(RUN), 0))))
 
 
 # The bits of pos_filter by name, and the parts of speech that each lets through.
