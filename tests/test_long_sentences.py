@@ -25,7 +25,7 @@ def folder(spark, tmp_path_factory):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["all_morphemes", "dict_trivial", "filters_bytes_and_basic", "inverted_index", "latin_tokens", "postings_tf", "tags_max_n", "tags_noun_min2_dedup"])
+@pytest.mark.parametrize("name", ["all_morphemes", "dict_trivial", "filters_bytes_and_basic", "inverted_index", "latin_tokens", "postings_tf", "tags_max_n", "tags_noun_min2_dedup", "token_freq_topk"])
 def test_query(spark, folder, name):
     df = registry.queries()[name](spark, folder)
     columns, expected = oracle_rows(registry.oracle_sql()[name], folder)
