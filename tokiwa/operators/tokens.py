@@ -2,8 +2,8 @@
 
 For such texts the cheapest segmentation is known: inside each span between lexical tokens, a maximal run of ASCII letters
 and digits is one noun, an identifier with inner underscores and a letter too, and everything else is a symbol, which is
-dropped. Runs longer than the caps and texts with kana or kanji need the lattice (see `tokiwa.operators.lattice`), which cuts
-no token either, however long a text or sentence is; `closed_form` says which rows those are not.
+dropped. Runs longer than the caps and texts with kana or kanji need the lattice (see `tokiwa.operators.lattice`), and long
+texts with long sentences, URLs or hashtags go there too; `closed_form` says which rows those are not.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from tokiwa.functions.text import java_class, only
 
 #: A word, or an identifier: underscores join only where a letter is in the run.
 RUN = "[A-Za-z0-9]+(?:_[A-Za-z0-9]+)*"
+CHUNK_BYTES = 32_768
 #: What a stretch with a lexical token that is a noun has: boundaries part no runs, so they needn't be looked for.
 TELLING_NOUN = "[0-9０-９@#＃]|://|\\.[A-Za-z0-9]"
 #: Longest runs of letters and of letters and digits that are surely one token.
@@ -48,7 +49,10 @@ def closed_form(text: Column) -> Column:
     some_odd = text.rlike(r"[\x{2F00}-\x{10FFFF}]") & text.rlike(f"[{odd}]")
     some_long = text.rlike(f"(?<![A-Za-z0-9_])[A-Za-z0-9_]{{{MOST_LETTERS + 1}}}") & text.rlike(long)
     parted = text.contains("_") & text.rlike("[0-9]_[0-9]")
-    return ~some_odd & ~some_long & ~parted
+    # other long texts go to the lattice, which cuts no token of theirs
+    long_sentence = f"(?<![^\n!?。！？])[^\n!?。！？]{{{CHUNK_BYTES // 4}}}"  # tried where a sentence begins only
+    cut_well = ~text.contains("://") & ~text.rlike("[#＃]") & ~text.rlike(long_sentence)
+    return ((F.octet_length(text) <= CHUNK_BYTES) | cut_well) & ~some_odd & ~some_long & ~parted
 
 
 def latin_surfaces(text: Column) -> Column:
